@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import components, leakage, mixing, mojibake
+from lodeworks.llm import components, leakage, linkage, mixing, mojibake
 from lodeworks.session import table
 
 
+#: The image whose executables the inventory lists.
+INVENTORY_IMAGE = "/images/orchid-desktop"
+
+
+def p3_links(spark: SparkSession, sf: str) -> DataFrame:
+    runs = table(spark, sf, "versions").where(F.col("source_path") == INVENTORY_IMAGE).select(F.col("id").alias("source_version_id"))
+    return linkage.match(table(spark, sf, "binaries"), table(spark, sf, "files").join(runs, "source_version_id", "left_semi"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_links(spark, sf).select("binary_id", "path")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return components.linked_groups(table(spark, sf, "match_candidates"))
 
@@ -39,7 +52,7 @@ def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
     return mojibake.garbled(table(spark, sf, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p7_passages": p7_passages, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p7_found": p7_found, "p7_passages": p7_passages, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
 
 _P4 = """
 WITH RECURSIVE links AS (
