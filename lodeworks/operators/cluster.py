@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.session import cut_lineage
+from lodeworks.session import cut_lineage, discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def cluster(pairs: DataFrame, a: str = "atom_a", b: str = "atom_b", kind: str |
     edges = cut_lineage(known.select(k.alias("k"), F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("k IS NOT NULL").distinct())
     before = None
     for _ in range(rounds):
-        edges = cut_lineage(_star(_star(edges, True), False))
+        last, edges = edges, cut_lineage(_star(_star(edges, True), False))
+        discard(last)
         # Order-free fingerprint of the edges: equal twice in a row means settled.
         now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("k", "u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if now == before:

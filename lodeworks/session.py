@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,9 +46,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows as a table written to the shared checkpoint folder.
+
+    They survive the loss of any executor, and the next plan starts from a scan with true
+    sizes. (A plan that starts from ``checkpoint()`` inherits estimates; in iterations that
+    join a result with itself these square every round until planning takes minutes.)
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lodeworks-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._lodeworks_path = path
+    return written
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables written by ``cut_lineage`` that no later plan reads."""
+    for frame in frames:
+        path = getattr(frame, "_lodeworks_path", None)
+        if path:
+            context = frame.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
