@@ -20,18 +20,18 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.session import cut_lineage
+from lodeworks.session import cut_lineage, discard
 
 
 def _jump(labels: DataFrame, limit: int = 64) -> DataFrame:
-    """Pointer jumping: (kind, v, l) with l replaced by the label of l until nothing changes."""
+    """Pointer jumping: (kind, v, l, moved) with l replaced by the label of l until nothing changes."""
     for _ in range(limit):
         target = labels.where(F.col("v") != F.col("l")).select(F.col("kind").alias("_k"), F.col("v").alias("_v"), F.col("l").alias("_l"))
         stepped = labels.join(target, (F.col("kind") == F.col("_k")) & (F.col("l") == F.col("_v")), "left")
-        labels = cut_lineage(stepped.select("kind", "v", F.coalesce("_l", "l").alias("l"), F.col("_l").isNotNull().alias("moved")))
+        last, labels = labels, cut_lineage(stepped.select("kind", "v", F.coalesce("_l", "l").alias("l"), F.col("_l").isNotNull().alias("moved")))
+        discard(last)
         if labels.where("moved").isEmpty():
             break
-    labels = labels.select("kind", "v", "l")
     return labels
 
 
@@ -61,13 +61,14 @@ def connected_components(pairs: DataFrame, a: str = "atom_a", b: str = "atom_b",
         labels = _jump(cut_lineage(smallest.select("kind", "v", F.least("v", "m").alias("l"))))
         maps.append(labels)
         moved = _relabel(_relabel(edges, "x", labels), "y", labels).where(F.col("x") != F.col("y"))
-        edges = cut_lineage(moved.select("kind", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        last, edges = edges, cut_lineage(moved.select("kind", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        discard(last)
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     if not maps:
         return edges.select("kind", F.col("x").alias("group_id"), F.col("y").alias("atom_id")).limit(0)
     # Later maps speak of labels of earlier ones, so they are followed from first to last.
-    final = reduce(lambda done, later: cut_lineage(_relabel(done, "l", later)), maps[1:], maps[0])
+    final = reduce(lambda done, later: _relabel(done, "l", later), maps[1:], maps[0])
     return final.select("kind", F.col("l").alias("group_id"), F.col("v").alias("atom_id"))
 
 
