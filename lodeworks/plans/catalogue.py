@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodeworks.plans import diffs, questions, resolution, snapshots
+from lodeworks.plans import diffs, exports, questions, resolution, snapshots
 
-_MODULES = (snapshots, diffs, questions, resolution)
+_MODULES = (snapshots, diffs, questions, resolution, exports)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
