@@ -9,11 +9,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 WHITE = r"[\s\u0085   -     　]+"
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def nfc(text: pa.Array) -> pa.Array:
     """Composed Unicode (NFC). Whole batches; only texts beyond ASCII are touched at all."""
     plain = pc.fill_null(pc.string_is_ascii(text), True)

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import DoubleType
 
 #: Files from this size on are neither hashed nor measured.
 HASH_LIMIT = 50_000_000
@@ -72,7 +73,7 @@ def json_keys(text: Column, most: int = 20) -> Column:
     return F.to_json(F.slice(F.array_sort(F.json_object_keys(text)), 1, most))
 
 
-@arrow_udf("double")
+@arrow_udf(DoubleType())
 def shannon(contents: pa.Array) -> pa.Array:
     """Bits per byte, from byte counts of whole Arrow values; null for null and empty ones."""
     out = []
