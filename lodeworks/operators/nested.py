@@ -24,8 +24,9 @@ from lodeworks.functions.jsonwalk import parse, records
 SIDES = ("requestParameters", "responseElements")
 SCHEMA = "doc_id long, record_pos long, pre long, post long, level int, node_type string, side string, array_path string, item_pos long, key string, value string"
 _OUT = pa.schema([("doc_id", pa.int64()), ("record_pos", pa.int64()), ("pre", pa.int64()), ("post", pa.int64()), ("level", pa.int32()), ("node_type", pa.string()), ("side", pa.string()), ("array_path", pa.string()), ("item_pos", pa.int64()), ("key", pa.string()), ("value", pa.string())])
-#: Rows per emitted batch, so that one huge body does not become one huge batch.
-_BATCH = 20_000
+#: Rows and characters of paths and values per emitted batch, so that one huge body does not
+#: become one huge batch. (Paths grow with the depth, so deep nesting writes long ones.)
+_BATCH, _CHARS = 20_000, 8_000_000
 
 
 def _scalar(value: object) -> str | None:
@@ -104,14 +105,16 @@ def shred(bodies: DataFrame, doc_id: str = "raw_id", body: str = "body", types:
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        chars = 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for node in walk(text.as_py()):
                     if wanted is None or node[4] in wanted:
                         rows.append((doc, *node))
-                        if len(rows) >= _BATCH:
+                        chars += len(node[6] or "") + len(node[9] or "")
+                        if len(rows) >= _BATCH or chars >= _CHARS:
                             yield _batch(rows)
-                            rows = []
+                            rows, chars = [], 0
         if rows:
             yield _batch(rows)
 
