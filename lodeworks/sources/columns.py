@@ -28,6 +28,11 @@ def rooted_path(path: Column) -> Column:
     return F.concat(F.lit("/"), F.regexp_replace(F.translate(path, "\\", "/"), "^/+", ""))
 
 
+def text(content: str) -> Column:
+    """Binary content as text; malformed bytes become replacement characters."""
+    return F.make_valid_utf8(F.col(content).cast("string"))
+
+
 def content_hash(content: Column, length: Column, regular: Column | None = None) -> Column:
     """SHA-256 of a regular file below the size limit, else null."""
     small = length < HASH_LIMIT

@@ -87,7 +87,7 @@ class Linux(SourceParser):
         binaries = elf.where(_under("path", BIN_DIRS)).select(F.col("id").alias("file_id"), F.col("filename").alias("executable_name"), C.elf_arch(F.col("content")).alias("arch"), "path")
         libraries = elf.where(_under("path", LIB_DIRS) & F.col("filename").rlike(r"\.so(\.|$)")).select(F.col("filename").alias("name"), "path", F.lit(0).alias("is_private"))
         units = read.where(_under("path", UNIT_DIRS, True) & F.col("filename").endswith(".service") & (F.col("length") < C.UNIT_LIMIT))
-        daemons = units.select(F.regexp_replace("filename", r"\.service$", "").alias("label"), F.col("path").alias("plist_path"), C.exec_start(F.decode("content", "utf-8")).alias("program"), F.lit(None).cast("long").alias("binary_id"))
+        daemons = units.select(F.regexp_replace("filename", r"\.service$", "").alias("label"), F.col("path").alias("plist_path"), C.exec_start(C.text("content")).alias("program"), F.lit(None).cast("long").alias("binary_id"))
         daemons = with_ids(first_wins(daemons, ["label"], [F.col("plist_path")]), "label")
         return {"files": files, "binaries": with_ids(binaries).drop("path"), "daemons": daemons, "frameworks": with_ids(libraries)}
 
@@ -233,7 +233,7 @@ class Trail(SourceParser):
 
     def extract_entities(self, spark, source):
         files = catalogued(spark, source, {".json": "json"}).where("extension = 'json'")
-        bodies = _with_content(spark, source, files, TRAIL_LIMIT).select(F.col("path").alias("doc_id"), F.decode("content", "utf-8").alias("body"))
+        bodies = _with_content(spark, source, files, TRAIL_LIMIT).select(F.col("path").alias("doc_id"), C.text("content").alias("body"))
         return {"files": files} | trail_tables(bodies)
 
 
@@ -265,7 +265,7 @@ class GenericJson(_Generic):
     name, description, endings, event_types = "generic_json", "JSON files", (".json",), ("json_keys",)
 
     def observe(self, read):
-        text = F.decode("content", "utf-8")
+        text = C.text("content")
         keyed = read.where(F.col("length") <= JSON_LIMIT).select("path", C.json_keys(text).alias("properties"))
         return keyed.where("properties IS NOT NULL").select("path", F.lit("json_keys").alias("event_type"), "properties")
 
