@@ -196,6 +196,12 @@ def cross_source_bags(bags: DataFrame, bag_atoms: DataFrame, atoms: DataFrame) -
     return bags.join(wide, bags["id"] == wide["bag_id"]).drop("bag_id").orderBy(F.desc("score"), "id")
 
 
+def canonical_counts(bag_atoms: DataFrame, atoms: DataFrame) -> DataFrame:
+    """canonical, cross_source: bags in all, and those of two or more versions, in one aggregation."""
+    spread = bag_atoms.join(atoms.select(F.col("id").alias("atom_id"), "source_version_id"), "atom_id").groupBy("bag_id").agg(F.count_distinct("source_version_id").alias("sources"))
+    return spread.agg(F.count("*").alias("canonical"), F.coalesce(F.sum((F.col("sources") >= 2).cast("long")), F.lit(0)).alias("cross_source"))
+
+
 def merge_audit(candidates: DataFrame, n: int) -> DataFrame:
     """The best-scored candidate pairs."""
     return candidates.where("score IS NOT NULL").orderBy(F.desc("score"), "id").limit(n)

@@ -155,9 +155,8 @@ def q18_cross_source_bags(spark, sf):
 
 
 def q19_canonical_count(spark, sf):
-    bags, members, atoms = _same_content(spark, sf)
-    wide = query.cross_source_bags(bags, members, atoms).agg(F.count("*").alias("cross_source"))
-    return bags.agg(F.count("*").alias("canonical")).crossJoin(F.broadcast(wide))
+    _, members, atoms = _same_content(spark, sf)
+    return query.canonical_counts(members, atoms)
 
 
 _SEARCHES = {

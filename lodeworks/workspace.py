@@ -12,6 +12,7 @@ import re
 import shutil
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,10 +46,9 @@ class Workspace:
         generation = f"g-{uuid.uuid4().hex}"
         target = os.path.join(self.root, generation)
         try:
-            for name, ddl in schema.DDL.items():
-                df = tables.get(name)
-                df = schema.conform(df, name) if df is not None else self.spark.createDataFrame([], ddl)
-                df.write.parquet(os.path.join(target, name))
+            # Most tables are small; several jobs at once keep the executors busy.
+            with ThreadPoolExecutor(8) as pool:
+                list(pool.map(lambda name: self._write(tables.get(name), name, target), schema.DDL))
         except BaseException:
             shutil.rmtree(target, ignore_errors=True)
             raise
@@ -60,6 +60,10 @@ class Workspace:
         if old:
             shutil.rmtree(old, ignore_errors=True)
 
+    def _write(self, df: DataFrame | None, name: str, target: str) -> None:
+        df = schema.conform(df, name) if df is not None else self.spark.createDataFrame([], schema.DDL[name])
+        df.write.parquet(os.path.join(target, name))
+
     def tables(self) -> dict[str, DataFrame]:
         version = self.version()
         if version > schema.SCHEMA_VERSION:
