@@ -97,8 +97,8 @@ class Subject:
     key: str
 
 
-def keyed_observations(observations: DataFrame, subjects: list[Subject]) -> DataFrame:
-    """entity_table, natural_key, event_type, observed_at, resolved per observation.
+def keyed_observations(observations: DataFrame, subjects: list[Subject], pair: tuple[str, ...] = ()) -> DataFrame:
+    """pair columns, entity_table, natural_key, event_type, observed_at, resolved per observation.
 
     An observation whose table is unknown or whose subject is missing keeps ``id:<n>``; one
     whose subject has a null key is left out.
@@ -109,18 +109,18 @@ def keyed_observations(observations: DataFrame, subjects: list[Subject]) -> Data
         subject = s.rows.select(F.col(s.id).alias("_id"), F.col(s.key).alias("_key"))
         joined = own.join(subject, F.col("entity_id") == F.col("_id"), "left")
         joined = joined.where(F.col("_id").isNull() | F.col("_key").isNotNull())
-        parts.append(joined.select("entity_table", F.coalesce(F.col("_key").cast("string"), F.concat(F.lit("id:"), F.col("entity_id").cast("string"))).alias("natural_key"), "event_type", "observed_at", F.col("_id").isNotNull().alias("resolved")))
+        parts.append(joined.select(*pair, "entity_table", F.coalesce(F.col("_key").cast("string"), F.concat(F.lit("id:"), F.col("entity_id").cast("string"))).alias("natural_key"), "event_type", "observed_at", F.col("_id").isNotNull().alias("resolved")))
     other = observations.where(~F.coalesce(F.col("entity_table").isin(*[s.table for s in subjects]), F.lit(False)))
-    parts.append(other.select("entity_table", F.concat(F.lit("id:"), F.col("entity_id").cast("string")).alias("natural_key"), "event_type", "observed_at", F.lit(False).alias("resolved")))
+    parts.append(other.select(*pair, "entity_table", F.concat(F.lit("id:"), F.col("entity_id").cast("string")).alias("natural_key"), "event_type", "observed_at", F.lit(False).alias("resolved")))
     return reduce(DataFrame.unionByName, parts)
 
 
-def observation_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """side, entity_table, natural_key, event_type, observed_at over keyed observations, distinct.
+def observation_diff(old: DataFrame, new: DataFrame, pair: tuple[str, ...] = ()) -> DataFrame:
+    """side, pair columns, entity_table, natural_key, event_type, observed_at over keyed observations, distinct.
 
-    Unresolved observations can't be compared and are listed on the side they come from.
+    Each pair of versions is compared by itself. Unresolved observations can't be compared and are listed on the side they come from.
     """
-    keys = ["entity_table", "natural_key", "event_type", "observed_at"]
+    keys = [*pair, "entity_table", "natural_key", "event_type", "observed_at"]
     out = []
     for side, mine, other in (("added", new, old), ("removed", old, new)):
         known = without_match(mine.where("resolved"), other.where("resolved"), keys).select(*keys)

@@ -76,9 +76,10 @@ def _observed(rows: DataFrame) -> DataFrame:
 
 
 def d09_observation_diff(spark, sf):
-    old, new = (_observed(x).drop("pair_id") for x in sides(spark, sf, "daemons", DAEMON_COLUMNS))
+    old, new = (_observed(x) for x in sides(spark, sf, "daemons", DAEMON_COLUMNS))
     subjects = [diff.Subject("binaries", table(spark, sf, "binaries"), "id", "executable_name")]
-    return diff.observation_diff(diff.keyed_observations(old, subjects), diff.keyed_observations(new, subjects))
+    old, new = (diff.keyed_observations(x, subjects, ("pair_id",)) for x in (old, new))
+    return diff.observation_diff(old, new, ("pair_id",))
 
 
 def d10_files_changed(spark, sf):

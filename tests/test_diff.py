@@ -53,6 +53,29 @@ def test_observations(spark):
     assert rows(diff.observation_diff(*keyed)) == [("added", "t", "id:7", "e", "1"), ("added", "t", "one", "e", "2"), ("removed", "t", "id:7", "e", "1"), ("removed", "u", "id:1", "e", "1")]
 
 
+def test_observations_of_each_pair(spark):
+    subject = spark.createDataFrame([(1, "one")], "id long, label string")
+    ddl = "pair_id long, entity_table string, entity_id long, event_type string, observed_at string"
+    # Snapshots 1, 2, 3 of which only the middle one has the observation: it comes in pair 2 and goes in pair 3.
+    old = spark.createDataFrame([(3, "t", 1, "e", "1")], ddl)
+    new = spark.createDataFrame([(2, "t", 1, "e", "1")], ddl)
+    keyed = [diff.keyed_observations(x, [diff.Subject("t", subject, "id", "label")], ("pair_id",)) for x in (old, new)]
+    assert rows(diff.observation_diff(*keyed, ("pair_id",))) == [("added", 2, "t", "one", "e", "1"), ("removed", 3, "t", "one", "e", "1")]
+
+
+def test_observation_query_compares_within_pairs(spark, tmp_path):
+    from lodeworks.plans.diffs import d09_observation_diff
+
+    runs = "id long, source_path string, started_at string, completed_at string"
+    spark.createDataFrame([(i, "img", f"2026-01-0{i}", "done") for i in (1, 2, 3)], runs).write.parquet(str(tmp_path / "versions.parquet"))
+    spark.createDataFrame([(7, "tool")], "id long, executable_name string").write.parquet(str(tmp_path / "binaries.parquet"))
+    daemons = spark.createDataFrame([(1, 2, 7, "boot", "t")], "id long, source_version_id long, binary_id long, session_type string, observed_time string")
+    for c in ("label", "program", "plist_path", "user_name", "group_name", "sandbox_profile", "run_at_load"):
+        daemons = daemons.withColumn(c, F.lit("x"))
+    daemons.write.parquet(str(tmp_path / "daemons.parquet"))
+    assert rows(d09_observation_diff(spark, str(tmp_path)).select("side", "pair_id", "natural_key")) == [("added", 2, "tool"), ("removed", 3, "tool")]
+
+
 def test_resolution(spark):
     ddl = "id long, entity_type string, canonical_key string, atom_count long, score double"
     old = spark.createDataFrame([(1, "f", "a", 2, 0.9), (2, "f", "b", 2, 0.9), (3, "f", None, 1, None), (4, "f", "d", 1, None), (5, "f", "d", 3, None)], ddl)
