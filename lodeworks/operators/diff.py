@@ -155,14 +155,16 @@ class DiffResult:
     removed: DataFrame | None = None
     changed: DataFrame | None = None
     structural: DataFrame | None = None
+    pair: tuple[str, ...] = ()
 
     def unified(self, name: str) -> DataFrame | None:
-        """Rows (result, category, key, old_value, new_value) of all parts."""
+        """Rows (result, category, key, old_value, new_value) of all parts; the key is led by the pair, if any."""
         text = lambda df, c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+        key_of = lambda df: F.concat_ws("|", *[F.col(c).cast("string") for c in self.pair], text(df, self.key_column)) if self.pair else text(df, self.key_column)
         parts = []
         for part, category in ((self.added, Category.ADDITION), (self.removed, Category.DELETION), (self.changed, Category.CHANGE), (self.structural, Category.STRUCTURAL)):
             if part is not None:
-                parts.append(part.select(F.lit(name).alias("result"), F.lit(category.value).alias("category"), text(part, self.key_column).alias("key"), text(part, "old_value").alias("old_value"), text(part, "new_value").alias("new_value")))
+                parts.append(part.select(F.lit(name).alias("result"), F.lit(category.value).alias("category"), key_of(part).alias("key"), text(part, "old_value").alias("old_value"), text(part, "new_value").alias("new_value")))
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def total_changes(self) -> int:
@@ -181,7 +183,10 @@ class TableSpec:
 
 
 class Differ:
-    """Full comparison of two workspaces given as tables by name."""
+    """Full comparison of two workspaces given as tables by name.
+
+    Where the tables hold many pairs of versions, ``pair`` names the columns that tell the pairs apart.
+    """
 
     #: Tables compared on natural keys, when both sides have them.
     SPECS = (
@@ -196,8 +201,8 @@ class Differ:
         TableSpec("mach_services", ["daemon_id", "service_name"]),
     )
 
-    def __init__(self, old: dict[str, DataFrame], new: dict[str, DataFrame]) -> None:
-        self.old, self.new = old, new
+    def __init__(self, old: dict[str, DataFrame], new: dict[str, DataFrame], pair: tuple[str, ...] = ()) -> None:
+        self.old, self.new, self.pair = old, new, pair
 
     def full_diff(self) -> dict[str, DiffResult]:
         out: dict[str, DiffResult] = {}
@@ -205,14 +210,14 @@ class Differ:
             if spec.table not in self.old or spec.table not in self.new:
                 continue
             o, n = self.old[spec.table], self.new[spec.table]
-            key = spec.keys[0]
-            out[f"{spec.table}_added"] = DiffResult(spec.table, key, Category.ADDITION, added=added_entities(o, n, spec.keys))
-            out[f"{spec.table}_removed"] = DiffResult(spec.table, key, Category.DELETION, removed=removed_entities(o, n, spec.keys))
+            key, keys = spec.keys[0], [*self.pair, *spec.keys]
+            out[f"{spec.table}_added"] = DiffResult(spec.table, key, Category.ADDITION, added=added_entities(o, n, keys), pair=self.pair)
+            out[f"{spec.table}_removed"] = DiffResult(spec.table, key, Category.DELETION, removed=removed_entities(o, n, keys), pair=self.pair)
             if spec.compare:
-                out[f"{spec.table}_changed"] = DiffResult(spec.table, key, Category.CHANGE, changed=changed_entities(o, n, spec.keys, spec.compare))
+                out[f"{spec.table}_changed"] = DiffResult(spec.table, key, Category.CHANGE, changed=changed_entities(o, n, keys, spec.compare), pair=self.pair)
         if "files" in self.old and "files" in self.new:
-            out["files_content"] = DiffResult("files", "path", Category.CHANGE, changed=files_changed(self.old["files"], self.new["files"], ["path"]))
-            out["files_moved"] = DiffResult("files", "sha256", Category.STRUCTURAL, structural=structural_diff(self.old["files"].where("sha256 IS NOT NULL"), self.new["files"].where("sha256 IS NOT NULL"), ["sha256"], F.col("path")))
+            out["files_content"] = DiffResult("files", "path", Category.CHANGE, changed=files_changed(self.old["files"], self.new["files"], [*self.pair, "path"]), pair=self.pair)
+            out["files_moved"] = DiffResult("files", "sha256", Category.STRUCTURAL, structural=structural_diff(self.old["files"].where("sha256 IS NOT NULL"), self.new["files"].where("sha256 IS NOT NULL"), [*self.pair, "sha256"], F.col("path")), pair=self.pair)
         return out
 
     def unified(self) -> DataFrame:

@@ -117,12 +117,9 @@ def d15_resolution_diff(spark, sf):
 def d18_diff_summary(spark, sf):
     old, new = sides(spark, sf, "files", FILE_COLUMNS)
     d_old, d_new = sides(spark, sf, "daemons", DAEMON_COLUMNS)
-    key = F.concat_ws("|", F.col("pair_id").cast("string"), "path")
-    files = [x.withColumn("path", key) for x in (old, new)]
-    daemons = [x.withColumn("label", F.concat_ws("|", F.col("pair_id").cast("string"), "label")) for x in (d_old, d_new)]
-    files = [diff.first_wins(x, ["path"], [F.col("id")]) for x in files]
-    daemons = [diff.first_wins(x, ["label"], [F.col("id")]) for x in daemons]
-    return diff.Differ({"files": files[0], "daemons": daemons[0]}, {"files": files[1], "daemons": daemons[1]}).summary()
+    files = [diff.first_wins(x, ["pair_id", "path"], [F.col("id")]) for x in (old, new)]
+    daemons = [diff.first_wins(x, ["pair_id", "label"], [F.col("id")]) for x in (d_old, d_new)]
+    return diff.Differ({"files": files[0], "daemons": daemons[0]}, {"files": files[1], "daemons": daemons[1]}, ("pair_id",)).summary()
 
 
 def k06_markdown_sanitize(spark, sf):

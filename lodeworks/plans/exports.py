@@ -67,9 +67,8 @@ def x06_diff_notes(spark, sf):
 
     from lodeworks.operators import diff
 
-    old, new = (x.withColumn("path", F.concat_ws("|", F.col("pair_id").cast("string"), "path")) for x in sides(spark, sf, "files", FILE_COLUMNS))
-    one = [diff.first_wins(x, ["path"], [F.col("id")]) for x in (old, new)]
-    unified = diff.Differ({"files": one[0]}, {"files": one[1]}).unified()
+    one = [diff.first_wins(x, ["pair_id", "path"], [F.col("id")]) for x in sides(spark, sf, "files", FILE_COLUMNS)]
+    unified = diff.Differ({"files": one[0]}, {"files": one[1]}, ("pair_id",)).unified()
     return stix.diff_notes(unified, NOW).groupBy("type").agg(F.count("*").alias("n"))
 
 

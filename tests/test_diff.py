@@ -105,6 +105,17 @@ def test_report_and_markdown(spark):
     assert [r[0] for r in spark.createDataFrame([("x" * 61,), (None,), ("x" * 60,)], "t string").select(cell(F.col("t"))).collect()] == ["x" * 57 + "...", "", "x" * 60]
 
 
+def test_moves_of_each_pair(spark):
+    # One content at /a, /b and /b in snapshots 1, 2, 3: it moves in pair 2 only.
+    ddl = "pair_id long, path string, sha256 string, size long"
+    old = spark.createDataFrame([(2, "/a", "h", 1), (3, "/b", "h", 1)], ddl)
+    new = spark.createDataFrame([(2, "/b", "h", 1), (3, "/b", "h", 1)], ddl)
+    differ = diff.Differ({"files": old}, {"files": new}, ("pair_id",))
+    moves = differ.unified().where("result = 'files_moved'")
+    assert rows(moves.select("key", "old_value", "new_value")) == [("2|h", "/a", "/b")]
+    assert rows(differ.summary()) == [("files_added", "addition", 1), ("files_moved", "structural", 1), ("files_removed", "deletion", 1)]
+
+
 def test_upsert(spark):
     there = spark.createDataFrame([(1, "a", "old")], KEYED)
     more = spark.createDataFrame([(2, "a", "new"), (4, "b", "late"), (3, "b", "first"), (5, None, "n"), (6, None, "n")], KEYED)
