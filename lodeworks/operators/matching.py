@@ -100,9 +100,10 @@ def token_pairs(atoms: DataFrame, cap: int = HIT_CAP) -> DataFrame:
     """
     indexed = atoms.select("id", F.explode(F.array_distinct(token_list(F.concat_ws(" ", "entity_type", "source_key", "properties")))).alias("token"))
     postings = indexed.withColumn("_n", F.row_number().over(Window.partitionBy("token").orderBy("id"))).where(F.col("_n") <= cap + 1).select("token", F.col("id").alias("hit"))
-    asked = atoms.select("id", F.explode(F.array_distinct(token_list(F.col("source_key")))).alias("token"))
-    hits = asked.join(postings, "token").where("id <> hit").select("id", "hit").distinct()
-    kept = hits.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("hit"))).where(F.col("_n") <= cap)
+    # Atoms of one source key ask the same: one list for all, long enough that each may leave itself out.
+    asked = atoms.select("source_key").distinct().select("source_key", F.explode(F.array_distinct(token_list(F.col("source_key")))).alias("token"))
+    hits = asked.join(postings, "token").groupBy("source_key").agg(F.slice(F.array_sort(F.collect_set("hit")), 1, cap + 1).alias("hits"))
+    kept = atoms.select("id", "source_key").join(hits, "source_key").select("id", F.explode(F.slice(F.filter("hits", lambda h: h != F.col("id")), 1, cap)).alias("hit"))
     return kept.select(F.least("id", "hit").alias("atom_a"), F.greatest("id", "hit").alias("atom_b")).distinct()
 
 

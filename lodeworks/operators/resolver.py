@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.text import blank
 from lodeworks.operators import cluster, matching
+from lodeworks.session import cut_lineage
 
 THRESHOLD = 0.85
 BAGS = "id long, entity_type string, canonical_key string, atom_count long, score double"
@@ -131,7 +132,7 @@ def resolve_scored(atoms: DataFrame, entity_type: str, threshold: float = THRESH
         ids = free.select("id")
         pairs = pairs.join(ids.withColumnRenamed("id", "atom_a"), "atom_a", "left_semi").join(ids.withColumnRenamed("id", "atom_b"), "atom_b", "left_semi")
     scored = matching.score_pairs(pairs, atoms, entity_type)
-    links = scored.where(F.col("score") >= threshold)
+    links = cut_lineage(scored.where(F.col("score") >= threshold).drop("features"))
     groups = cluster.cluster(links)
     members = groups.select(F.col("cluster_id").alias("bag_id"), "atom_id")
     of_link = links.join(members.select(F.col("atom_id").alias("atom_a"), "bag_id"), "atom_a").groupBy("bag_id").agg(F.avg("score").alias("score"))

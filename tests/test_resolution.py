@@ -142,3 +142,19 @@ def test_atomize(spark):
     d = spark.createDataFrame([(1, 1, "a", "p", "x"), (2, 1, "a", "q", "x"), (3, 1, " ", "q", "x"), (4, 2, "a", None, None)], "id long, source_version_id long, label string, program string, plist_path string")
     got = sorted(tuple(r) for r in matching.atomize(d, "daemons").collect())
     assert got == [(1, "daemons", "a", '{"label":"a","plist_path":"x","program":"p"}'), (2, "daemons", "a", '{"label":"a"}')]
+
+
+def test_scored_query_against_brute_force(spark, tmp_path):
+    from itertools import combinations
+
+    from lodeworks.plans.resolution import r16_resolve_scored
+
+    rows = [(1, 1, "/a/x", "x", 5, None, "elf"), (2, 2, "/b/x", "x", 5, None, "elf"), (3, 2, "/c/y", "y", 7, "h", "elf"), (4, 3, "/d/y", "y", 7, "H", "elf"), (5, 3, "/z/tool", "q", 1, None, "pe"), (6, 1, "/w/Tool", None, 1, None, "pe"), (7, 1, "/k/lone", "lone", 9, None, "pe")]
+    files = spark.createDataFrame(rows, "id long, source_version_id long, path string, filename string, size long, sha256 string, file_type string")
+    files.write.parquet(str(tmp_path / "files.parquet"))
+    pairs = spark.createDataFrame(list(combinations([r[0] for r in rows], 2)), "atom_a long, atom_b long")
+    scored = matching.score_pairs(pairs, files.withColumn("sha256", F.lower("sha256")), "files").where("score >= 0.85")
+    want = sorted((r.cluster_id, r.atom_id) for r in cluster.cluster(scored).collect())
+    assert want == [(1, 1), (1, 2), (3, 3), (3, 4), (5, 5), (5, 6)]
+    bags = {r.id: r.atom_count for r in r16_resolve_scored(spark, str(tmp_path)).collect()}
+    assert bags == {1: 2, 3: 2, 5: 2, 7: 1}
