@@ -189,8 +189,8 @@ SCORING_SPECS = {
     "kexts": _rules(("bundle_id", "norm_equal", 3.0), ("name", "norm_equal", 2.0), ("version", "exact", 1.0)),
     "files": _rules(("sha256", "exact", 3.0), ("filename", "norm_equal", 1.5), ("path", "path_suffix", 1.0), ("size", "numeric_close", 0.5), ("file_type", "exact", 0.5)),
 }
-#: Blocking fields per entity type.
-BLOCKING = {"binaries": [["sha256"], ["executable_name", "arch"]], "daemons": [["label"], ["program"]], "frameworks": [["bundle_id"], ["name"]], "kexts": [["bundle_id"]], "files": [["sha256"], ["filename", "size"]]}
+#: Blocking fields per entity type; the finer ones still pair what stands in too large a bucket of a name.
+BLOCKING = {"binaries": [["sha256"], ["executable_name"], ["executable_name", "arch"]], "daemons": [["label"], ["program"]], "frameworks": [["bundle_id"], ["name"]], "kexts": [["bundle_id"]], "files": [["sha256"], ["filename"], ["filename", "size"]]}
 
 
 def score_columns(entity_type: str, a: str = "a_", b: str = "b_") -> tuple[Column, Column]:

@@ -115,9 +115,10 @@ def resolve(atoms: DataFrame, keys: list[str], entity_type: str) -> Resolution:
     return Resolution(rows, members, _event(members, "create", "exact"), counts={"merges": got[0], "atoms_resolved": got[1]})
 
 
-def resolve_scored(atoms: DataFrame, entity_type: str, threshold: float = THRESHOLD, resolved: DataFrame | None = None, blocking: list[list[str]] | None = None, tokens: bool = False) -> Resolution:
+def resolve_scored(atoms: DataFrame, entity_type: str, threshold: float = THRESHOLD, resolved: DataFrame | None = None, blocking: list[list[str]] | None = None, tokens: bool = True) -> Resolution:
     """Block, score, cluster and merge atoms that carry their fields as columns.
 
+    Candidates come from the blocking fields and, unless ``tokens`` is off, from token search.
     Only atoms without a bag take part (buckets are sized over all). Every scored pair is
     kept; pairs at or above the threshold link; a cluster is a bag whose key is the source
     key of its smallest atom and whose score is the mean of its links, with a ``create`` and
@@ -126,6 +127,9 @@ def resolve_scored(atoms: DataFrame, entity_type: str, threshold: float = THRESH
     """
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold lies between 0 and 1")
+    if tokens and not {"entity_type", "properties"} <= set(atoms.columns):
+        fields = sorted(r.field for r in matching.SCORING_SPECS[entity_type])
+        atoms = atoms.withColumns({"entity_type": F.lit(entity_type), "properties": F.to_json(F.struct(*fields))})
     pairs = matching.candidate_pairs(atoms, blocking or matching.BLOCKING[entity_type], tokens)
     free = unresolved_atoms(atoms, resolved) if resolved is not None else atoms
     if resolved is not None:

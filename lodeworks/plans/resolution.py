@@ -77,9 +77,7 @@ def r15_components(spark, sf):
 
 
 def r16_resolve_scored(spark, sf):
-    files = _files(spark, sf)
-    atoms = files.withColumns({"entity_type": F.lit("files"), "properties": F.to_json(F.struct("path", "filename", "size", "sha256", "file_type"))})
-    done = resolver.resolve_scored(atoms, "files", tokens=True)
+    done = resolver.resolve_scored(_files(spark, sf), "files")
     return done.bags.select("id", "entity_type", "canonical_key", "atom_count", F.round("score", 6).alias("score"))
 
 

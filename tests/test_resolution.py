@@ -158,3 +158,12 @@ def test_scored_query_against_brute_force(spark, tmp_path):
     assert want == [(1, 1), (1, 2), (3, 3), (3, 4), (5, 5), (5, 6)]
     bags = {r.id: r.atom_count for r in r16_resolve_scored(spark, str(tmp_path)).collect()}
     assert bags == {1: 2, 3: 2, 5: 2, 7: 1}
+
+
+def test_scored_by_default_names_and_tokens(spark):
+    # Arch and hash are missing on one side: only the plain name proposes 1 and 2, only tokens 3 and 4.
+    a = atoms(spark, (1, 1, "k1", "tool", None, "/a/tool", None), (2, 2, "k2", "tool", "h", "/b/tool", "arm64"), (3, 1, "daemon x", None, None, "/c/run", None), (4, 2, "daemon y", "run", None, "/d/run", None), (5, 1, "alone", "z", "q", "/e/z", None))
+    done = resolver.resolve_scored(a, "binaries")
+    assert sorted((r.bag_id, r.atom_id) for r in done.bag_atoms.collect()) == [(1, 1), (1, 2), (3, 3), (3, 4), (5, 5)]
+    names = resolver.resolve_scored(a, "binaries", tokens=False)
+    assert names.bags.where("atom_count > 1").count() == 1
