@@ -53,7 +53,7 @@ def r09_bucket_overflow(spark, sf):
 def r10_block_tokens(spark, sf):
     b = table(spark, sf, "binaries")
     atoms = b.select("id", F.lit("binaries").alias("entity_type"), F.col("executable_name").alias("source_key"), F.to_json(F.struct("arch", "executable_name")).alias("properties"))
-    return matching.token_pairs(atoms, cap=50)
+    return matching.token_pairs(atoms)
 
 
 def r11_comparators(spark, sf):

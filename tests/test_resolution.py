@@ -167,3 +167,11 @@ def test_scored_by_default_names_and_tokens(spark):
     assert sorted((r.bag_id, r.atom_id) for r in done.bag_atoms.collect()) == [(1, 1), (1, 2), (3, 3), (3, 4), (5, 5)]
     names = resolver.resolve_scored(a, "binaries", tokens=False)
     assert names.bags.where("atom_count > 1").count() == 1
+
+
+def test_token_query_keeps_the_hits_of_the_operator(spark, tmp_path):
+    from lodeworks.plans.resolution import r10_block_tokens
+
+    b = spark.createDataFrame([(i, f"runner n{i}", "arm64") for i in range(1, 121)], "id long, executable_name string, arch string")
+    b.write.parquet(str(tmp_path / "binaries.parquet"))
+    assert r10_block_tokens(spark, str(tmp_path)).count() == 120 * 119 // 2
