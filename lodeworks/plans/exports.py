@@ -32,7 +32,7 @@ def h03_redact_records(spark, sf):
 
 
 def h04_scan_files(spark, sf):
-    return sanitize.scan(table(spark, sf, "files").select("path", "filename", "symlink_target"), "files")
+    return sanitize.scan(table(spark, sf, "files"), "files")
 
 
 def h04_fingerprints(spark, sf):

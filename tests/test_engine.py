@@ -318,3 +318,11 @@ def test_streaming(spark, tmp_path):
     assert {(r.kind, r.n) for r in stream.run_once(stream.sessions(s(), "at", "kind"), "s3", "complete").collect()} == {("a", 3), ("b", 1)}
     first = {r.kind: str(r.first_time) for r in stream.run_once(stream.first_seen(s(), "kind", "at"), "s4", "update").collect()}
     assert first == {"a": "2025-01-01 00:00:00", "b": "2025-01-01 02:00:00"}
+
+
+def test_scan_query_reads_every_text_column(spark, tmp_path):
+    from lodeworks.plans.exports import h04_scan_files
+
+    rows = spark.createDataFrame([(1, "/x", "x", None, "/Users/ann/o", "y")], "id long, path string, filename string, symlink_target string, owner string, group_name string")
+    rows.write.parquet(str(tmp_path / "files.parquet"))
+    assert [tuple(r) for r in h04_scan_files(spark, str(tmp_path)).collect()] == [("owner", "username_path", 1)]
