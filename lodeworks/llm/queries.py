@@ -37,7 +37,7 @@ def p7_passages(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
     chosen, shares = mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
-    return chosen.join(shares.select("source", "target_share", "actual_share"), "source")
+    return chosen.join(F.broadcast(shares.select("source", "target_share", "actual_share")), "source")
 
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
