@@ -10,15 +10,15 @@ SHOWN_ROWS, CELL_CHARS = 100, 60
 
 
 def sanitize(value: object) -> str:
-    """Backslashes doubled, backticks and control characters as hex escapes, bars escaped."""
-    text = "" if value is None else str(value)
+    """Backslashes doubled, backticks and control characters as hex escapes, bars escaped; nothing is a question mark."""
+    text = "?" if value is None else str(value)
     text = text.replace("\\", "\\\\").replace("`", "\\x60").replace("|", "\\|")
     return "".join(f"\\x{ord(c):02x}" if ord(c) < 32 or 127 <= ord(c) < 160 else c for c in text)
 
 
 def sanitize_column(value: Column) -> Column:
     """The same, as a column."""
-    text = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    text = F.replace(F.coalesce(value, F.lit("?")), F.lit("\\"), F.lit("\\\\"))
     text = F.replace(text, F.lit("`"), F.lit("\\x60"))
     text = F.replace(text, F.lit("|"), F.lit("\\|"))
     for code in [*range(32), *range(127, 160)]:

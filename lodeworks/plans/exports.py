@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeworks.operators import sanitize, stix
+from lodeworks.schema import DDL
 from lodeworks.session import table
 from lodeworks.sources import columns as source_columns
 from lodeworks.sources import registry
 
 NOW = "2026-02-01T00:00:00Z"
-#: The patterns whose syntax and word borders Java and RE2 treat alike on any text.
-COMMON = ("email", "username_path", "username_path_win", "uuid", "password_kv", "bearer_token")
-
-
-def _pairs(names):
-    return {n: sanitize.PATTERNS[n] for n in names}
-
 
 def h02_column_scope(spark, sf):
     rows = [(t, c, n) for t, c in (("files", "path"), ("observations", "properties"), ("versions", "metadata"), ("daemons", "label"), ("documents", "text")) for n in sanitize.patterns_for(t, c)]
@@ -24,11 +18,12 @@ def h02_column_scope(spark, sf):
 
 
 def h03_redact_files(spark, sf):
-    return table(spark, sf, "files").select("id", sanitize.redact_column(F.col("path"), _pairs(("username_path", "username_path_win"))).alias("path"))
+    files = table(spark, sf, "files")
+    return sanitize.redact(files, "files").select("id", *sanitize.text_columns(files))
 
 
 def h03_redact_records(spark, sf):
-    return table(spark, sf, "sample_records").select("raw_id", F.md5(sanitize.redact_column(F.col("body"), _pairs(("email", "uuid", "username_path")))).alias("digest"))
+    return table(spark, sf, "sample_records").select("raw_id", F.md5(sanitize.redact_column(F.col("body"), sanitize.patterns_for("sample_records", "body"))).alias("digest"))
 
 
 def h04_scan_files(spark, sf):
@@ -41,7 +36,7 @@ def h04_fingerprints(spark, sf):
 
 def h05_sanitize_daemons(spark, sf):
     clean, _ = sanitize.sanitize_output({"daemons": table(spark, sf, "daemons")})
-    return clean["daemons"].select("id", "label", "program", "program_arguments")
+    return clean["daemons"].select("id", *sanitize.text_columns(clean["daemons"]))
 
 
 def x01_stix_ids(spark, sf):
@@ -140,15 +135,18 @@ def _redacted(column: str, names) -> str:
     return out
 
 
+_FILE_TEXTS = [c for c, t in (x.split() for x in DDL["files"].split(", ")) if t == "string"]
+_DAEMON_TEXTS = [c for c, t in (x.split() for x in DDL["daemons"].split(", ")) if t == "string"]
 _NS = stix.NAMESPACE.hex
 _U5 = "substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || substr('89ab', CAST(('0x' || substr(h,17,1)) AS INT) % 4 + 1, 1) || substr(h,18,3) || '-' || substr(h,21,12)"
 _FK = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("daemons", "binary_id", "binaries", "id"), ("daemons", "source_version_id", "versions", "id"), ("files", "source_version_id", "versions", "id"), ("binaries", "file_id", "files", "id")]
 
 ORACLE = {
     "h02_column_scope": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}', '{n}')" for t, c in (("files", "path"), ("observations", "properties"), ("versions", "metadata"), ("daemons", "label"), ("documents", "text")) for n in (sanitize.PATTERNS if (t, c) in sanitize.VALUE_COLUMNS or t == "documents" else sanitize.PATH_SAFE)) + ") t(table_name, column_name, pattern)",
-    "h03_redact_files": f"SELECT id, {_redacted('path', ('username_path', 'username_path_win'))} AS path FROM files",
-    "h03_redact_records": f"SELECT raw_id, md5({_redacted('body', ('email', 'uuid', 'username_path'))}) AS digest FROM sample_records",
-    "h04_scan_files": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column, '{n}' AS pattern, CAST(coalesce(sum(len(regexp_extract_all({c}, '{_q(sanitize.PATTERNS[n])}'))), 0) AS BIGINT) AS findings FROM files" for c in ("path", "filename", "symlink_target") for n in sanitize.PATH_SAFE) + ") WHERE findings > 0",
+    "h03_redact_files": "SELECT id, " + ", ".join(f"{_redacted(c, sanitize.PATH_SAFE)} AS {c}" for c in _FILE_TEXTS) + " FROM files",
+    "h03_redact_records": f"SELECT raw_id, md5({_redacted('body', sanitize.PATTERNS)}) AS digest FROM sample_records",
+    "h05_sanitize_daemons": "SELECT id, " + ", ".join(f"{_redacted(c, sanitize.PATH_SAFE)} AS {c}" for c in _DAEMON_TEXTS) + " FROM daemons",
+    "h04_scan_files": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column, '{n}' AS pattern, CAST(coalesce(sum(len(regexp_extract_all({c}, '{_q(sanitize.PATTERNS[n])}'))), 0) AS BIGINT) AS findings FROM files" for c in _FILE_TEXTS for n in sanitize.PATH_SAFE) + ") WHERE findings > 0",
     "x01_stix_ids": f"SELECT id, 'file--' || {_U5} AS stix_id FROM (SELECT id, sha1(unhex('{_NS}') || encode('file:[\"files\",' || CAST(id AS VARCHAR) || ']')) AS h FROM files)",
     "x02_stix_files": f"SELECT 'file--' || {_U5} AS id, id AS source_id, filename AS name, CASE WHEN size > 0 THEN CAST(size AS VARCHAR) END AS size, nullif(sha256, '') AS sha256 FROM (SELECT *, sha1(unhex('{_NS}') || encode('file:[\"files\",' || CAST(id AS VARCHAR) || ']')) AS h FROM files)",
     "x03_timestamps": f"SELECT id, CASE WHEN trim(coalesce(observed_time, '')) = '' THEN '{NOW}' ELSE strftime(CAST(replace(replace(observed_time, 'T', ' '), 'Z', '') AS TIMESTAMP), '%Y-%m-%dT%H:%M:%SZ') END AS at FROM daemons",

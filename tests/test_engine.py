@@ -58,6 +58,36 @@ def test_read_only(spark):
     assert "... and 50 more rows" in shown and "x" * 57 + "..." in shown and "x" * 58 not in shown
 
 
+def test_patterns_follow_the_public_formats():
+    import re
+
+    hit = lambda name, text: re.search(sanitize.PATTERNS[name], text) is not None
+    yes = {
+        "uuid": ("07409496-a423-4a3e-b620-2cfb01a9318d", "URN:UUID:F81D4FAE-7DEC-11D0-A765-00A0C91E6BF6"),
+        "gps_coord": ("latitude: 52.5163", "lng=-0.12776", '"lon": "13.37770"', "GPS = 179.99999"),
+        "username_path": ("/home/alice/notes.txt", "/home/über/u.txt", "/Users/bob", "/var/home/kim/x"),
+        "username_path_win": (r"C:\Users\alice\x", "d:/Users/bob/y", "C:\\\\Documents and Settings\\\\eve"),
+        "aws_secret_key_kv": ("aws_secret_access_key = " + "aB3/" * 10, "AWS-SECRET-KEY:" + "x+9Y" * 10, 'secretAccessKey="' + "k" * 40 + '"'),
+        "private_key_kv": ("PrivateKey = " + "A" * 43 + "=", "wireguard-key: " + "b" * 43 + "=", "preshared_key=" + "c/d+" * 8),
+        "token_kv": ("api-key=abc123", "access_token: x.y-z", "client secret = s3cr3t", "bearer_token = synthetic-value", '"auth_token": "Bearer abc"'),
+        "bearer_token": ("Authorization: Bearer abcdefghij0123456789", "bearer a.b-c_d~e+f/g0123456=="),
+    }
+    no = {
+        "uuid": ("07409496-a423-4a3e-b620-2cfb01a9318", "07409496a4234a3eb6202cfb01a9318d"),
+        "gps_coord": ("latitude: 52", "lat = 52.51", "flat: 52.51630", "lng=999.12345"),
+        "username_path": ("/usr/share/home", "/Users", "/homes/x"),
+        "username_path_win": (r"C:\Windows\x", r"C:\Users"),
+        "aws_secret_key_kv": ("aws_secret_access_key = short", "secret = " + "x" * 40),
+        "private_key_kv": ("PrivateKey = short", "public_key = " + "A" * 43),
+        "token_kv": ("token = abc", "api key abc"),
+        "bearer_token": ("bearer of bad news", "Bearer short"),
+    }
+    for name, texts in yes.items():
+        assert all(hit(name, t) for t in texts), (name, [t for t in texts if not hit(name, t)])
+    for name, texts in no.items():
+        assert not any(hit(name, t) for t in texts), (name, [t for t in texts if hit(name, t)])
+
+
 def test_sanitizer(spark):
     secret = "password=hunter22 mail a.b@c.org /Users/anna/x Bearer abcdefghijklmnop1234"
     df = spark.createDataFrame([(1, secret, "/home/über/doc v1.2.3.4"), (2, None, None)], "id long, properties string, path string")
