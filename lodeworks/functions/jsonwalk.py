@@ -96,27 +96,27 @@ def parse(text: str, numbers_as_text: bool = False) -> object:
         return _deep(text.strip(" \t\r\n"), numbers_as_text)
 
 
-def _unwrap(value: object, numbers_as_text: bool, depth: int = 0) -> list:
-    if depth > 8:
-        return []
-    if isinstance(value, str):
-        return _unwrap(parse(value, numbers_as_text), numbers_as_text, depth + 1) if value.lstrip("﻿ \t\r\n")[:1] in ("{", "[", '"') else []
-    if isinstance(value, list):
-        out = []
-        for x in value:
-            inner = x
-            if isinstance(x, dict) and not any(k in x for k in RECORD_KEYS) and isinstance(x.get("detail"), dict):
-                inner = x["detail"]
-            out.append(inner)
-        return out
-    if isinstance(value, dict):
-        if isinstance(value.get("Records"), (list, str)):
-            return _unwrap(value["Records"], numbers_as_text, depth + 1)
-        if any(k in value for k in RECORD_KEYS):
-            return [value]
-        if "detail" in value:
-            return _unwrap(value["detail"], numbers_as_text, depth + 1)
-    return []
+def _unwrap(value: object, numbers_as_text: bool) -> list:
+    """The records under any number of wrappings: each step takes one off."""
+    while True:
+        if isinstance(value, str):
+            if value.lstrip("\ufeff \t\r\n")[:1] not in ("{", "[", '"'):
+                return []
+            value = parse(value, numbers_as_text)
+        elif isinstance(value, list):
+            envelope = lambda x: isinstance(x, dict) and not any(k in x for k in RECORD_KEYS) and isinstance(x.get("detail"), dict)
+            return [x["detail"] if envelope(x) else x for x in value]
+        elif isinstance(value, dict):
+            if isinstance(value.get("Records"), (list, str)):
+                value = value["Records"]
+            elif any(k in value for k in RECORD_KEYS):
+                return [value]
+            elif "detail" in value:
+                value = value["detail"]
+            else:
+                return []
+        else:
+            return []
 
 
 def records(body: str | None, numbers_as_text: bool = False) -> list:

@@ -26,8 +26,8 @@ from lodeworks.functions.jsonwalk import records
 
 MONTHS = {m: i for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1)}
 DAYS = {d: i for i, d in enumerate(("mon", "tue", "wed", "thu", "fri", "sat", "sun"))}
-#: The instants taken for true: 2023-01-01 up to, not including, 2027-01-01.
-TRUE_FROM, TRUE_TO = 1_672_531_200_000_000, 1_798_761_600_000_000
+#: Instants that can be true: microseconds from, and up to but not including.
+Span = tuple[int, int]
 #: Epochs of bare numbers: (name, microseconds from 1970 to the epoch, ticks per second).
 EPOCHS = (
     ("unix_s", 0, 1),
@@ -79,6 +79,8 @@ def _seconds(delta: timedelta | None) -> int:
 def _steady(zone: str, day: date) -> int | None:
     """The offset that holds from the eve of a day to the day after it, if there is one."""
     z = _zone(zone)
+    if not date.min + timedelta(days=3) < day < date.max - timedelta(days=3):
+        return None
     noon = datetime(day.year, day.month, day.day, 12, tzinfo=z)
     offsets = {_seconds((noon + timedelta(hours=n)).utcoffset()) for n in range(-36, 37, 3)}
     return offsets.pop() if len(offsets) == 1 else None
@@ -109,33 +111,45 @@ def _by_abbreviation(zone: str, wall: datetime, abbr: str) -> int | None:
         there = wall.replace(tzinfo=z, fold=fold)
         if there.tzname() == abbr:
             offset = _seconds(there.utcoffset())
-            back = (wall - timedelta(seconds=offset)).replace(tzinfo=ZoneInfo("UTC")).astimezone(z)
+            try:
+                back = (wall - timedelta(seconds=offset)).replace(tzinfo=ZoneInfo("UTC")).astimezone(z)
+            except OverflowError:  # at the first or last day of the calendar
+                return None
             if back.replace(tzinfo=None, fold=0) == wall:
                 return offset
     return None
 
 
-def _number(text: str) -> int | None:
+def span(first_day: str, end_day: str) -> Span:
+    """The span of instants from one UTC day up to, not including, another."""
+    start, end = (date.fromisoformat(d).toordinal() - _ORDINAL for d in (first_day, end_day))
+    return start * _DAY, end * _DAY
+
+
+def _number(text: str, true_span: Span | None) -> int | None:
+    """The reading of a bare number in the one epoch that puts it into the span; without a span its epoch can't be told."""
     whole, _, fraction = text.partition(".")
-    if whole.startswith("-"):
+    if true_span is None:
         return None
+    sign, whole = (-1, whole[1:]) if whole.startswith("-") else (1, whole)
     found = set()
     for _name, start, ticks in EPOCHS:
-        scaled = int(whole + fraction) * 10**6
+        scaled = sign * int(whole + fraction) * 10**6
         us = scaled // (ticks * 10 ** len(fraction)) + start
-        if TRUE_FROM <= us < TRUE_TO:
+        if true_span[0] <= us < true_span[1]:
             found.add(us)
     return found.pop() if len(found) == 1 else None
 
 
-def instant(text: str | None, zone: str | None, ambiguous: str = "reject", nonexistent: str = "reject") -> int | None:
+def instant(text: str | None, zone: str | None, ambiguous: str = "reject", nonexistent: str = "reject", true_span: Span | None = None) -> int | None:
     """Microseconds since 1970-01-01 UTC of the one instant a value denotes, else None.
 
     None for null, blank and unreadable values, impossible dates and clocks, weekdays that
     contradict the date, dates without a time, a missing or unknown zone where one is
-    needed, and instants outside TRUE_FROM..TRUE_TO. Digits finer than a microsecond are
-    cut off. ``ambiguous`` and ``nonexistent`` (reject, earlier or later offset) say what
-    becomes of local times that the zone's clock shows twice or never.
+    needed. Digits finer than a microsecond are cut off. ``ambiguous`` and ``nonexistent``
+    (reject, earlier or later offset) say what becomes of local times that the zone's clock
+    shows twice or never. With a ``true_span`` instants outside it give None too, and bare
+    numbers are read in the one known epoch that puts them inside; without one they give None.
     """
     if text is None:
         return None
@@ -147,7 +161,7 @@ def instant(text: str | None, zone: str | None, ambiguous: str = "reject", nonex
         return None
     g = m.groupdict()
     if g.get("num"):
-        return _number(g["num"])
+        return _number(g["num"], true_span)
     month = int(g["mo"]) if g.get("mo") else MONTHS.get(g["mon"].lower(), 0)
     hour, minute, second = int(g["h"]), int(g["mi"]), int(g["s"])
     if half := g.get("ap"):
@@ -160,8 +174,6 @@ def instant(text: str | None, zone: str | None, ambiguous: str = "reject", nonex
         return None
     if (wd := g.get("wd")) and DAYS.get(wd.lower()) != wall.weekday():
         return None
-    if not 2022 <= wall.year <= 2027:
-        return None
     named, offset = g.get("zone"), None
     if off := g.get("off"):
         digits = off[1:].replace(":", "").ljust(4, "0")
@@ -176,15 +188,15 @@ def instant(text: str | None, zone: str | None, ambiguous: str = "reject", nonex
         return None
     micros = int((g.get("f") or "0")[:6].ljust(6, "0"))
     us = (wall.toordinal() - _ORDINAL) * _DAY + (hour * 3600 + minute * 60 + second - offset) * 1_000_000 + micros
-    return us if TRUE_FROM <= us < TRUE_TO else None
+    return us if true_span is None or true_span[0] <= us < true_span[1] else None
 
 
-def epoch_us(value: Column, zone: Column, ambiguous: str = "reject", nonexistent: str = "reject") -> Column:
+def epoch_us(value: Column, zone: Column, ambiguous: str = "reject", nonexistent: str = "reject", true_span: Span | None = None) -> Column:
     """``instant`` as a column of whole Arrow batches."""
 
     @arrow_udf("long")
     def convert(values: pa.Array, zones: pa.Array) -> pa.Array:
-        return pa.array([instant(v, z, ambiguous, nonexistent) for v, z in zip(values.to_pylist(), zones.to_pylist())], type=pa.int64())
+        return pa.array([instant(v, z, ambiguous, nonexistent, true_span) for v, z in zip(values.to_pylist(), zones.to_pylist())], type=pa.int64())
 
     return convert(value, zone)
 
@@ -194,12 +206,12 @@ def version_zones(versions: DataFrame) -> DataFrame:
     return versions.select(F.col("id").alias("version_id"), F.get_json_object("metadata", "$.zone").alias("zone"))
 
 
-def file_instants(files: DataFrame, versions: DataFrame, fields: tuple[str, ...] = ("observed_time", "modified_time")) -> DataFrame:
+def file_instants(files: DataFrame, versions: DataFrame, fields: tuple[str, ...] = ("observed_time", "modified_time"), true_span: Span | None = None) -> DataFrame:
     """entity_table, row_id, record_pos, field, epoch_us of every value that denotes one instant."""
     zoned = files.select("id", "source_version_id", *fields).join(version_zones(versions), F.col("source_version_id") == F.col("version_id"), "left")
     named = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
     values = zoned.select(F.col("id").alias("row_id"), "zone", F.inline(named)).where(F.col("value").isNotNull())
-    return values.select(F.lit("files").alias("entity_table"), "row_id", F.lit(0).cast("long").alias("record_pos"), "field", epoch_us(F.col("value"), F.col("zone")).alias("epoch_us")).where(F.col("epoch_us").isNotNull())
+    return values.select(F.lit("files").alias("entity_table"), "row_id", F.lit(0).cast("long").alias("record_pos"), "field", epoch_us(F.col("value"), F.col("zone"), true_span=true_span).alias("epoch_us")).where(F.col("epoch_us").isNotNull())
 
 
 def event_times(bodies: DataFrame) -> DataFrame:
@@ -220,6 +232,6 @@ def event_times(bodies: DataFrame) -> DataFrame:
     return bodies.select(F.col("raw_id").cast("long"), "body").mapInArrow(read, "raw_id long, record_pos long, value string")
 
 
-def record_instants(bodies: DataFrame, zone: str = "UTC") -> DataFrame:
+def record_instants(bodies: DataFrame, zone: str = "UTC", true_span: Span | None = None) -> DataFrame:
     times = event_times(bodies)
-    return times.select(F.lit("sample_records").alias("entity_table"), F.col("raw_id").alias("row_id"), "record_pos", F.lit("eventTime").alias("field"), epoch_us(F.col("value"), F.lit(zone)).alias("epoch_us")).where(F.col("epoch_us").isNotNull())
+    return times.select(F.lit("sample_records").alias("entity_table"), F.col("raw_id").alias("row_id"), "record_pos", F.lit("eventTime").alias("field"), epoch_us(F.col("value"), F.lit(zone), true_span=true_span).alias("epoch_us")).where(F.col("epoch_us").isNotNull())

@@ -103,3 +103,20 @@ def test_own_parser_agrees():
         except ValueError:
             continue
         raise AssertionError(bad)
+
+
+def test_wrapped_any_number_of_times():
+    import json
+
+    from lodeworks.functions.jsonwalk import records
+
+    body = json.dumps([{"eventName": "x", "requestParameters": {"a": [1]}}])
+    for _ in range(12):  # every wrapping doubles the escapes
+        body = json.dumps(body)
+        assert len(records(body)) == 1
+    deep = {"eventName": "x"}
+    for _ in range(3000):
+        deep = {"detail": deep}
+    from lodeworks.functions.jsonwalk import _unwrap
+
+    assert _unwrap(deep, False) == [{"eventName": "x"}]

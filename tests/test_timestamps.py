@@ -3,12 +3,13 @@
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
-from lodeworks.operators.timestamps import epoch_us, file_instants, instant
+from lodeworks.operators.timestamps import epoch_us, file_instants, instant, span
 
 NY, BERLIN, SYDNEY = "America/New_York", "Europe/Berlin", "Australia/Sydney"
 AT = datetime(2025, 8, 30, 2, 12, 34, 567890, tzinfo=UTC)
 US = int((AT - datetime(1970, 1, 1, tzinfo=UTC)) / timedelta(microseconds=1))
 WHOLE = US // 1_000_000 * 1_000_000
+SPAN = span("2023-01-01", "2027-01-01")
 
 
 def test_notations():
@@ -30,10 +31,22 @@ def test_notations():
 def test_numbers():
     s = WHOLE // 1_000_000
     for text in (str(s), f"{s}.0", str(s * 1000), str(s * 1_000_000), str(s * 10**9), str(s - 978_307_200), str(s + 2_082_844_800), str((s + 11_644_473_600) * 10**7)):
-        assert instant(text, None) == WHOLE, text
-    assert instant("778214025.25", None) == (778_214_025 + 978_307_200) * 1_000_000 + 250_000
+        assert instant(text, None, true_span=SPAN) == WHOLE, text
+        assert instant(text, None) is None
+    assert instant("778214025.25", None, true_span=SPAN) == (778_214_025 + 978_307_200) * 1_000_000 + 250_000
     for text in ("0", "12", "-5", "99999999999999999999999", "1.5"):
-        assert instant(text, NY) is None
+        assert instant(text, NY, true_span=SPAN) is None
+    assert instant("-864000", None, true_span=span("1969-12-20", "1969-12-25")) == -864_000_000_000
+
+
+def test_any_year_and_a_span_that_is_handed_in():
+    for year in (1901, 1969, 2021, 2030, 2150, 9998):
+        want = int((datetime(year, 5, 6, 7, 8, 9, tzinfo=UTC) - datetime(1970, 1, 1, tzinfo=UTC)) / timedelta(seconds=1)) * 1_000_000
+        for text in (f"{year}-05-06T07:08:09Z", f"06.05.{year} 07:08:09", f"05/06/{year} 07:08:09"):
+            assert instant(text, "UTC") == want, text
+            assert instant(text, "UTC", true_span=SPAN) is None
+    assert instant("0001-01-01T00:00:00", NY) is not None and instant("9999-12-31 23:59:59 EST", NY) is None
+    assert instant(str(1_000_000_000), None, true_span=span("2001-09-01", "2001-10-01")) == 10**15
 
 
 def test_clock_changes():
@@ -61,7 +74,7 @@ def test_every_hour_of_a_year_against_zoneinfo():
 
 def test_refused():
     for text in (None, "", "-", "n/a", "pending", "2025-02-30T08:15:00Z", "2025-06-31", "0000-00-00 00:00:00", "2025-01-01T24:00:00Z", "2025-01-01T00:60:00Z", "Sun, 30 Aug 2025 02:12:34 GMT", "1999-01-01T00:00:00Z", "13/13/2025 01:00:00 PM", "08/29/2025 13:12:34 PM", "2025-08-30T02:12:34+19:00", "x" * 100_000, "2025-08-30 02:12:34 PST"):
-        assert instant(text, NY) is None, text
+        assert instant(text, NY, true_span=SPAN) is None, text
     assert instant("2025-08-30 02:12:34", None) is None and instant("2025-08-30 02:12:34", "No/Where") is None
 
 
@@ -70,6 +83,6 @@ def test_columns_and_tables(spark):
     assert [r[0] for r in df.select(epoch_us(df.v, df.z)).collect()] == [WHOLE, None, WHOLE]
     versions = spark.createDataFrame([(1, '{"zone": "America/New_York"}', 5), (2, None, 5)], "id long, metadata string, zone int")
     files = spark.createDataFrame([(10, 1, "29.08.2025 22:12:34", None, "z"), (11, 2, "29.08.2025 22:12:34", str(WHOLE // 10**6), "z"), (12, 9, None, "", "z")], "id long, source_version_id long, observed_time string, modified_time string, zone string")
-    rows = sorted(tuple(r) for r in file_instants(files, versions).collect())
+    rows = sorted(tuple(r) for r in file_instants(files, versions, true_span=SPAN).collect())
     assert rows == [("files", 10, 0, "observed_time", WHOLE), ("files", 11, 0, "modified_time", WHOLE)]
     assert file_instants(files.limit(0), versions).collect() == []
