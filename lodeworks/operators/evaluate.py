@@ -16,19 +16,25 @@ from lodeworks.operators import cluster
 CONSUMING = ("identical", "move", "recompile", "rename", "drop")
 FOREIGN = ("new", "confusable", "confusable_strong")
 #: Share of base atoms per mutation (fixed values), and which give way when there are too few.
-RATIOS = {"identical": 0.30, "move": 0.20, "recompile": 0.20, "rename": 0.15, "drop": 0.10, "new": 0.10, "confusable": 0.08, "confusable_strong": 0.05}
+RATIOS = {"identical": 0.30, "move": 0.20, "recompile": 0.20, "rename": 0.15, "drop": 0.05, "new": 0.10, "confusable": 0.10, "confusable_strong": 0.08}
 GIVE_WAY = ("drop", "rename", "recompile", "move", "identical")
 
 
 def default_plan(base: int) -> dict[str, int]:
-    """At least one of each mutation, together not more than there are base atoms."""
-    plan = {m: max(1, int(base * r)) for m, r in RATIOS.items()}
+    """At least one of each mutation, together not more than there are base atoms.
+
+    The consuming ones give way in the order of ``GIVE_WAY``; those left with none are not listed.
+    Without base atoms nothing can be confused with one.
+    """
+    plan = {m: max(1, round(base * r)) for m, r in RATIOS.items()}
+    if base < 1:
+        plan["confusable"] = 0
     excess = sum(plan[m] for m in CONSUMING) - base
     for m in GIVE_WAY:
         cut = min(plan[m], max(0, excess))
         plan[m] -= cut
         excess -= cut
-    return plan
+    return {m: n for m, n in plan.items() if n}
 
 
 def perturb(base: DataFrame, plan: dict[str, int], seed: int = 0) -> DataFrame:

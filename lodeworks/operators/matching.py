@@ -134,9 +134,13 @@ def norm_equal(a: Column, b: Column) -> Column:
 
 
 def path_suffix(a: Column, b: Column) -> Column:
-    """Whether the base names agree, regardless of case and kind of slash."""
-    base = lambda p: F.lower(F.substring_index(F.translate(p, "\\", "/"), "/", -1))
-    return _both(a, b, _flag(base(a) == base(b)))
+    """Whether the last components agree, regardless of case and kind of slash.
+
+    Empty components don't count, so a trailing slash changes nothing; a path of slashes
+    only, or an empty one, agrees with none.
+    """
+    last = lambda p: F.lower(F.regexp_extract(p, r"([^/\\]+)[/\\]*$", 1))
+    return _both(a, b, _flag((last(a) != "") & (last(a) == last(b))))
 
 
 def numeric_close(a: Column, b: Column) -> Column:
@@ -184,13 +188,15 @@ def _rules(*rules: tuple[str, str, float]) -> tuple[FieldRule, ...]:
 #: Fields, comparators and weights per entity type (fixed values).
 SCORING_SPECS = {
     "binaries": _rules(("sha256", "exact", 3.0), ("executable_name", "norm_equal", 2.0), ("path", "path_suffix", 1.0), ("arch", "exact", 0.5)),
-    "daemons": _rules(("label", "norm_equal", 3.0), ("program", "norm_equal", 2.0), ("plist_path", "path_suffix", 1.0)),
+    "daemons": _rules(("label", "norm_equal", 3.0), ("program", "path_suffix", 2.0), ("plist_path", "path_suffix", 1.0)),
     "frameworks": _rules(("bundle_id", "norm_equal", 3.0), ("name", "norm_equal", 2.0), ("path", "path_suffix", 1.0), ("version", "exact", 0.5)),
     "kexts": _rules(("bundle_id", "norm_equal", 3.0), ("name", "norm_equal", 2.0), ("version", "exact", 1.0)),
     "files": _rules(("sha256", "exact", 3.0), ("filename", "norm_equal", 1.5), ("path", "path_suffix", 1.0), ("size", "numeric_close", 0.5), ("file_type", "exact", 0.5)),
 }
-#: Blocking fields per entity type; the finer ones still pair what stands in too large a bucket of a name.
-BLOCKING = {"binaries": [["sha256"], ["executable_name"], ["executable_name", "arch"]], "daemons": [["label"], ["program"]], "frameworks": [["bundle_id"], ["name"]], "kexts": [["bundle_id"]], "files": [["sha256"], ["filename"], ["filename", "size"]]}
+#: Default blocking field per entity type (fixed values).
+BLOCKING = {"binaries": [["executable_name"]], "daemons": [["label"]], "frameworks": [["name"]], "kexts": [["bundle_id"]], "files": [["filename"]]}
+#: Blocking that also proposes what shares a content or stands in too large a bucket of a name.
+WIDE_BLOCKING = {"binaries": [["sha256"], ["executable_name"], ["executable_name", "arch"]], "daemons": [["label"], ["program"]], "frameworks": [["bundle_id"], ["name"]], "kexts": [["bundle_id"]], "files": [["sha256"], ["filename"], ["filename", "size"]]}
 
 
 def score_columns(entity_type: str, a: str = "a_", b: str = "b_") -> tuple[Column, Column]:

@@ -29,8 +29,9 @@ def r01_atomize(spark, sf):
 
 def r02_atomize_files(spark, sf):
     atoms = matching.atomize(table(spark, sf, "files"), "files")
-    earlier = atoms.where(F.col("source_version_id") <= 6)
-    return matching.new_atoms(earlier, atoms).select("source_version_id", "entity_type", "source_key")
+    # What each image delivered first is there already; the later runs come in.
+    firsts = table(spark, sf, "versions").groupBy("source_path").agg(F.min("id").alias("source_version_id")).select("source_version_id")
+    return matching.new_atoms(atoms.join(firsts, "source_version_id", "left_semi"), atoms).select("source_version_id", "entity_type", "source_key")
 
 
 def r07_resolve_exact(spark, sf):
@@ -71,6 +72,29 @@ def r14_score_pairs(spark, sf):
     return matching.score_pairs(pairs, atoms, "files").select("atom_a", "atom_b", F.round("score", 6).alias("score"))
 
 
+def _given_pairs(spark, sf, entity_type: str) -> DataFrame:
+    c = table(spark, sf, "match_candidates").where(F.col("entity_type") == entity_type)
+    return c.select(F.least("atom_a", "atom_b").alias("atom_a"), F.greatest("atom_a", "atom_b").alias("atom_b")).where("atom_a < atom_b").distinct()
+
+
+def r14_score_daemons(spark, sf):
+    atoms = table(spark, sf, "daemons").select("id", "label", "program", "plist_path")
+    return matching.score_pairs(_given_pairs(spark, sf, "daemons"), atoms, "daemons").select("atom_a", "atom_b", F.round("score", 6).alias("score"))
+
+
+def r14_score_binaries(spark, sf):
+    atoms = table(spark, sf, "binaries").select("id", "sha256", "executable_name", F.lit(None).cast("string").alias("path"), "arch")
+    return matching.score_pairs(_given_pairs(spark, sf, "binaries"), atoms, "binaries").select("atom_a", "atom_b", F.round("score", 6).alias("score"))
+
+
+def r11_path_suffix(spark, sf):
+    """Every file path against the program of the daemon with the same id."""
+    f = table(spark, sf, "files").select("id", "path", "symlink_target", F.concat("path", F.lit("/")).alias("folder"))
+    d = table(spark, sf, "daemons").select("id", "program")
+    suffix = matching.path_suffix
+    return f.join(d, "id", "left").select("id", suffix(F.col("path"), F.col("folder")).alias("own"), suffix(F.col("path"), F.col("symlink_target")).alias("link"), suffix(F.col("path"), F.col("program")).alias("program"), suffix(F.col("path"), F.lit("//")).alias("empty"))
+
+
 def r15_components(spark, sf):
     links = table(spark, sf, "match_candidates").where("score >= 0.85")
     return cluster.cluster(links, kind="entity_type")
@@ -123,7 +147,7 @@ def e05_calibrate(spark, sf):
     return evaluate.calibrate_threshold(_sweep(spark, sf), 0.2).select("threshold")
 
 
-QUERIES = {f.__name__: f for f in (r01_atomize, r02_atomize_files, r05_merge_bags, r07_resolve_exact, r08_unresolved, r09_block_buckets, r09_bucket_overflow, r10_block_tokens, r11_comparators, r14_score_pairs, r15_components, r16_resolve_scored, e01_perturb, e02_pair_metrics, e03_sweep, e04_recommend, e05_calibrate)}
+QUERIES = {f.__name__: f for f in (r01_atomize, r02_atomize_files, r05_merge_bags, r07_resolve_exact, r08_unresolved, r09_block_buckets, r09_bucket_overflow, r10_block_tokens, r11_comparators, r11_path_suffix, r14_score_pairs, r14_score_daemons, r14_score_binaries, r15_components, r16_resolve_scored, e01_perturb, e02_pair_metrics, e03_sweep, e04_recommend, e05_calibrate)}
 
 _H = "nullif(regexp_replace(lower(trim(sha256)), '^sha256:', ''), '')"
 _ATOM = "json_merge_patch('{}', to_json({0}))"
@@ -137,7 +161,7 @@ _FA = f"fa AS (SELECT id, path, filename, size, {_H} AS sha256, file_type FROM f
 _SCORE = """sp AS (
   SELECT a.id AS atom_a, b.id AS atom_b,
     (3.0 + CASE WHEN a.filename IS NOT NULL AND b.filename IS NOT NULL AND lower(trim(a.filename)) = lower(trim(b.filename)) THEN 1.5 ELSE 0 END
-      + CASE WHEN a.path IS NOT NULL AND b.path IS NOT NULL AND lower(regexp_extract(replace(a.path, '\\', '/'), '[^/]*$')) = lower(regexp_extract(replace(b.path, '\\', '/'), '[^/]*$')) THEN 1.0 ELSE 0 END
+      + CASE WHEN a.path IS NOT NULL AND b.path IS NOT NULL AND nullif(regexp_extract(lower(replace(a.path, '\\', '/')), '([^/]+)/*$', 1), '') = regexp_extract(lower(replace(b.path, '\\', '/')), '([^/]+)/*$', 1) THEN 1.0 ELSE 0 END
       + CASE WHEN a.size IS NOT NULL AND b.size IS NOT NULL THEN 0.5 * CASE WHEN a.size = b.size THEN 1.0 ELSE greatest(0.0, 1.0 - CAST(abs(a.size - b.size) AS DOUBLE) / greatest(abs(a.size), abs(b.size))) END ELSE 0 END
       + CASE WHEN a.file_type IS NOT NULL AND b.file_type IS NOT NULL AND a.file_type = b.file_type THEN 0.5 ELSE 0 END)
     / (3.0 + CASE WHEN a.filename IS NOT NULL AND b.filename IS NOT NULL THEN 1.5 ELSE 0 END + CASE WHEN a.path IS NOT NULL AND b.path IS NOT NULL THEN 1.0 ELSE 0 END
@@ -160,8 +184,28 @@ _SWEEP = (
     + _METRIC.format(by="threshold,", g="GROUP BY threshold", j2="JOIN t2 USING (threshold)", j3="JOIN t3 USING (threshold)").strip()
 )
 
+_GIVEN = "p AS (SELECT DISTINCT least(atom_a, atom_b) AS atom_a, greatest(atom_a, atom_b) AS atom_b FROM match_candidates WHERE entity_type = '{0}' AND atom_a <> atom_b)"
+
+
+def _suffix(a: str, b: str) -> str:
+    last = lambda p: f"regexp_extract(lower(replace({p}, '\\', '/')), '([^/]+)/*$', 1)"
+    return f"CASE WHEN {last(a)} <> '' AND {last(a)} = {last(b)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+def _eq(field: str) -> str:
+    return f"(lower(trim(a.{field})) = lower(trim(b.{field})))::DOUBLE"
+
+
+def _weighted(*rules: tuple[str, str, float]) -> str:
+    """Weighted mean over the fields that both sides have, 0 without any."""
+    there = lambda f: f"a.{f} IS NOT NULL AND b.{f} IS NOT NULL"
+    top = " + ".join(f"CASE WHEN {there(f)} THEN {w} * {score} ELSE 0 END" for score, f, w in rules)
+    bottom = " + ".join(f"CASE WHEN {there(f)} THEN {w} ELSE 0 END" for _, f, w in rules)
+    return f"coalesce(({top}) / nullif(({bottom})::DOUBLE, 0), 0.0::DOUBLE)"
+
+
 ORACLE = {
-    "r02_atomize_files": "SELECT DISTINCT source_version_id, 'files' AS entity_type, path AS source_key FROM files x WHERE trim(path) <> '' AND source_version_id > 6",
+    "r02_atomize_files": "SELECT DISTINCT source_version_id, 'files' AS entity_type, path AS source_key FROM files x WHERE trim(path) <> '' AND source_version_id NOT IN (SELECT min(id) FROM versions GROUP BY source_path)",
     "r05_merge_bags": f"""WITH a AS (SELECT id, nullif(bundle_id, '') AS bundle, {_CK} AS ck FROM binaries),
 bag AS (SELECT ck, min(id) AS id, count(*) AS n FROM a WHERE ck IS NOT NULL GROUP BY ck),
 mem AS (SELECT a.id AS atom, bag.id AS bag, a.bundle FROM a JOIN bag USING (ck)),
@@ -182,11 +226,14 @@ r AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY hit) <
 SELECT DISTINCT least(id, hit) AS atom_a, greatest(id, hit) AS atom_b FROM r""",
     "r11_comparators": """WITH b AS (SELECT id, executable_name AS e, bundle_id AS u, sha256 AS s FROM binaries)
 SELECT c.id, CASE WHEN a.s = b.s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS exact, CASE WHEN lower(trim(a.e)) = lower(trim(b.e)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm,
- CASE WHEN lower(regexp_extract(replace(a.e, '\\', '/'), '[^/]*$')) = lower(regexp_extract(replace(b.e, '\\', '/'), '[^/]*$')) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS suffix,
+ CASE WHEN nullif(regexp_extract(lower(replace(a.e, '\\', '/')), '([^/]+)/*$', 1), '') = regexp_extract(lower(replace(b.e, '\\', '/')), '([^/]+)/*$', 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS suffix,
  round(CASE WHEN atom_a = atom_b THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(atom_a - atom_b)::DOUBLE / greatest(abs(atom_a), abs(atom_b))) END, 6) AS close,
  CASE WHEN a.u IS NULL OR b.u IS NULL THEN 0.0::DOUBLE ELSE round(coalesce(len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(a.u), '[^a-z0-9]+'), lambda t: t <> '')), list_distinct(list_filter(regexp_split_to_array(lower(b.u), '[^a-z0-9]+'), lambda t: t <> ''))))::DOUBLE
    / nullif(len(list_distinct(list_concat(list_filter(regexp_split_to_array(lower(a.u), '[^a-z0-9]+'), lambda t: t <> ''), list_filter(regexp_split_to_array(lower(b.u), '[^a-z0-9]+'), lambda t: t <> '')))), 0), 0.0), 6) END AS jaccard
 FROM match_candidates c JOIN b a ON a.id = c.atom_a JOIN b b ON b.id = c.atom_b WHERE c.entity_type = 'binaries'""",
+    "r11_path_suffix": f"SELECT f.id, {_suffix('f.path', "f.path || '/'")} AS own, {_suffix('f.path', 'f.symlink_target')} AS link, {_suffix('f.path', 'd.program')} AS program, 0.0::DOUBLE AS empty FROM files f LEFT JOIN daemons d ON d.id = f.id",
+    "r14_score_daemons": f"WITH {_GIVEN.format('daemons')} SELECT atom_a, atom_b, round({_weighted((_eq('label'), 'label', 3.0), (_suffix('a.program', 'b.program'), 'program', 2.0), (_suffix('a.plist_path', 'b.plist_path'), 'plist_path', 1.0))}, 6) AS score FROM p JOIN daemons a ON a.id = atom_a JOIN daemons b ON b.id = atom_b",
+    "r14_score_binaries": f"WITH {_GIVEN.format('binaries')} SELECT atom_a, atom_b, round({_weighted(('(a.sha256 = b.sha256)::DOUBLE', 'sha256', 3.0), (_eq('executable_name'), 'executable_name', 2.0), ('(a.arch = b.arch)::DOUBLE', 'arch', 0.5))}, 6) AS score FROM p JOIN binaries a ON a.id = atom_a JOIN binaries b ON b.id = atom_b",
     "r14_score_pairs": f"WITH {_FA}, {_SCORE} SELECT atom_a, atom_b, round(score, 6) AS score FROM sp",
     "r15_components": "WITH RECURSIVE raw AS (SELECT entity_type AS k, atom_a AS a, atom_b AS b FROM match_candidates WHERE score >= 0.85 AND atom_a <> atom_b), " + _LINKED.strip() + " SELECT k AS kind, cluster_id, atom_id FROM comp",
     "r16_resolve_scored": f"WITH RECURSIVE {_FA}, {_SCORE}, raw AS (SELECT '' AS k, atom_a AS a, atom_b AS b FROM sp WHERE score >= 0.85), " + _LINKED.strip() + """, n AS (SELECT cluster_id, count(*) AS c FROM comp GROUP BY 1), s AS (SELECT cluster_id, avg(score) AS s FROM sp JOIN comp ON comp.atom_id = sp.atom_a WHERE score >= 0.85 GROUP BY 1)
