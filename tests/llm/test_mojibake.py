@@ -13,7 +13,21 @@ TEXTS = {
     "el": "Είναι «μια» μέρα με ήλιο και όταν θέλω.",
     "en": "Don’t “quote” me — it’s 50 € or ±3…",
 }
-PLAIN = [None, "", "plain ASCII", *TEXTS.values(), "O CORAÇÃO “LÃ” É «JÃ»", "Der „Gruß“ und Fuß…", "85 µm und 85 ΜM, x² + 1, 20 °C", "Hufabrobo® Naïve café", "ñandú über été", "geipfa​unzuch fafäch"]
+PLAIN = [None, "", "plain ASCII", *TEXTS.values(), "O CORAÇÃO “LÃ” É «JÃ»", "Der „Gruß“ und Fuß…", "85 µm und 85 ΜM, x² + 1, 20 °C", "Hufabrobo® Naïve café", "ñandú über été", "geipfa​unzuch fafäch", "CAFÉ” MÜNCHEN…", "он сказал «её»", "ΡΊΣΆΧΆΣ «ΓΉΜΆΝ…»", "liberté»… l’été", "他说“你好”。", "Příliš žluťoučký kůň úpěl ďábelské ódy", "ĐÂY LÀ “CÂU”", "x\xa0= 5\xa0€"]
+
+
+SCRIPTS = {
+    "he": "שלום לכולם, מה שלומכם היום?",
+    "hi": "नमस्ते दुनिया, आप कैसे हैं?",
+    "th": "สวัสดีชาวโลก วันนี้อากาศดี",
+    "zh": "今天天气很好，我们去公园散步。",
+    "ar": "مرحبا بالعالم، كيف حالك اليوم؟",
+    "ja": "これは日本語の文章です。カタカナもあります。",
+    "ko": "안녕하세요, 오늘 날씨가 좋습니다.",
+    "vi": "Đây là một câu tiếng Việt có dấu.",
+    "ka": "გამარჯობა მსოფლიო",
+    "ta": "வணக்கம் உலகம்",
+}
 
 
 def misread(text, codec):
@@ -39,6 +53,27 @@ def test_utf8_misread(lang, codec):
         assert found[4] == TEXTS[lang]
 
 
+@pytest.mark.parametrize("codec", ["latin_1", "cp1252", "mac_roman", "cp437", "cp1251"])
+@pytest.mark.parametrize("lang", SCRIPTS)
+def test_any_script(lang, codec):
+    assert restore(SCRIPTS[lang]) is None
+    found = restore(misread(SCRIPTS[lang], codec))
+    assert found[0] == "utf8" and found[4] == SCRIPTS[lang]
+
+
+@pytest.mark.parametrize(("lang", "codec"), [("ja", "shift_jis"), ("ja", "euc_jp"), ("zh", "gbk"), ("ko", "euc_kr")])
+def test_double_byte(lang, codec):
+    found = restore("".join(_one(b, "cp1252") for b in SCRIPTS[lang].encode(codec)))
+    assert found[0] == "double_byte" and found[4] == SCRIPTS[lang]
+
+
+def test_many_times_misread():
+    text = garbled_text = "schöne Grüße"
+    for _ in range(7):
+        garbled_text = misread(garbled_text, "latin_1")
+    assert restore(garbled_text)[4] == text
+
+
 @pytest.mark.parametrize("lang", ["de", "fr", "pt", "en"])
 def test_twice_misread(lang):
     found = restore(misread(misread(TEXTS[lang], "cp1252"), "cp1252"))
