@@ -54,6 +54,7 @@ SINGLE_BYTE = tuple(
     )
     for wrong in wrongs
 )
+@lru_cache(maxsize=None)
 def _page(codec: str) -> dict[str, int]:
     """High characters of a code page by byte; its undefined bytes, for cp1252 all C1 controls, by number."""
     out = {chr(b): b for b in range(0x80, 0xA0)} if codec == "cp1252" else {}
@@ -105,6 +106,10 @@ def odd(word: str) -> bool:
     """
     if word.isascii():
         return False
+    return _odd_short(word) if len(word) <= 40 else _odd(word)
+
+
+def _odd(word: str) -> bool:
     scripts: set[str] = set()
     before, gap = None, False  # the last letter, and whether signs that don't join stand behind it
     for c in word:
@@ -126,6 +131,9 @@ def odd(word: str) -> bool:
     return len(scripts) > 1
 
 
+_odd_short = lru_cache(maxsize=100_000)(_odd)
+
+
 def foreign(word: str) -> bool:
     """Three Latin letters or more without an ASCII one; only texts full of such words are no writing."""
     letters = [c for c in word if _script(c) is not None]
@@ -251,6 +259,10 @@ def _one_round(text: str) -> tuple[str, str, int] | None:
     return "".join(out) + text[at:], best[1], done
 
 
+#: Three characters of the Western page in a row, which every such text has.
+_HIGH_RUN = re.compile("[" + "".join(map(re.escape, _page("cp1252"))) + "]{3}")
+
+
 def _double_byte(text: str) -> tuple[str, str, int] | None:
     """(decoded text, codecs, runs) of East Asian double-byte text read as a Western page.
 
@@ -260,6 +272,8 @@ def _double_byte(text: str) -> tuple[str, str, int] | None:
     fewest everyday characters explains most.
     """
     page = _page("cp1252")
+    if not _HIGH_RUN.search(text):
+        return None
     high = sum(c in page for c in text)
     if high < 6 or 2 * high < sum(not c.isascii() for c in text):
         return None
