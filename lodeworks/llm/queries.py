@@ -9,13 +9,12 @@ from lodeworks.llm import components, leakage, linkage, mixing, mojibake
 from lodeworks.session import table
 
 
-#: The image whose executables the inventory lists.
-INVENTORY_IMAGE = "/images/orchid-desktop"
+#: Which image each inventory lists (what is known of the tables).
+INVENTORIES = {"/inventory/signing": "/images/orchid-desktop"}
 
 
-def p3_links(spark: SparkSession, sf: str) -> DataFrame:
-    runs = table(spark, sf, "versions").where(F.col("source_path") == INVENTORY_IMAGE).select(F.col("id").alias("source_version_id"))
-    return linkage.match(table(spark, sf, "binaries"), table(spark, sf, "files").join(runs, "source_version_id", "left_semi"))
+def p3_links(spark: SparkSession, sf: str, image_of: dict[str, str] = INVENTORIES) -> DataFrame:
+    return linkage.match_inventory(table(spark, sf, "binaries"), table(spark, sf, "files"), table(spark, sf, "versions"), image_of)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
