@@ -8,6 +8,7 @@ number. A node lies inside another exactly if its interval lies inside:
 Scale: one pass over the bodies, no shuffle until tables are linked; linking is an
 equi-join on (document, record) with the interval test as residual condition, so a large
 document spreads over its records and adaptive execution may split a large record.
+``array_items`` needs no join at all: it links the items of each body while walking it.
 """
 
 from __future__ import annotations
@@ -139,7 +140,50 @@ def inside(inner: DataFrame, outer: DataFrame, carry: dict[str, str]) -> DataFra
     return inner.join(held, on).drop("_d", "_r", "_pre", "_post")
 
 
+_ITEMS = pa.schema([("raw_id", pa.int64()), ("record_pos", pa.int64()), ("arn", pa.string()), ("side", pa.string()), ("array_path", pa.string()), ("item_pos", pa.int64())])
+
+
+def linked_items(body: str | None) -> Iterator[tuple]:
+    """(record_pos, arn, side, array_path, item_pos) of every item, by the interval of the record that contains it.
+
+    Nodes come in post-order, so a record's items are waiting when the record itself comes:
+    the same link as ``inside`` makes between two tables, without a join.
+    """
+    waiting: list[tuple] = []
+    for node in walk(body):
+        if node[4] == "item":
+            waiting.append(node)
+        elif node[4] == "record":
+            pos, pre, post, arn = node[0], node[1], node[2], node[9]
+            inner = [n for n in waiting if pre < n[1] and n[2] < post]
+            yield from ((pos, arn, n[5], n[6], n[7]) for n in inner)
+            waiting = waiting if len(inner) < len(waiting) else []
+
+
 def array_items(bodies: DataFrame, doc_id: str = "raw_id", body: str = "body") -> DataFrame:
-    """Every array element of both sides with its way to the record: raw_id, record_pos, arn, side, array_path, item_pos."""
-    linked = inside(shred(bodies, doc_id, body, types=("item",)), shred(bodies, doc_id, body, types=("record",)), {"arn": "value"})
-    return linked.select(F.col("doc_id").alias("raw_id"), "record_pos", "arn", "side", "array_path", "item_pos")
+    """Every array element of both sides with its way to the record: raw_id, record_pos, arn, side, array_path, item_pos.
+
+    Each body is parsed and labelled once, and its items are linked where they are; nothing
+    is shuffled. A null, blank or incomplete body has none; repeated bodies each count.
+    """
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        chars = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _ITEMS)], schema=_ITEMS)
+
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for item in linked_items(text.as_py()):
+                    rows.append((doc, *item))
+                    chars += len(item[1]) + len(item[3])
+                    if len(rows) >= _BATCH or chars >= _CHARS:
+                        yield out()
+                        rows, chars = [], 0
+        if rows:
+            yield out()
+
+    schema = "raw_id long, record_pos long, arn string, side string, array_path string, item_pos long"
+    return bodies.select(F.col(doc_id).cast("long"), F.col(body)).mapInArrow(flat, schema)

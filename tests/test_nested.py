@@ -120,3 +120,21 @@ def test_wrapped_any_number_of_times():
     from lodeworks.functions.jsonwalk import _unwrap
 
     assert _unwrap(deep, False) == [{"eventName": "x"}]
+
+
+def test_links_agree_with_the_join(spark):
+    import json
+    import random
+
+    from lodeworks.operators.nested import array_items, inside, shred
+
+    rng = random.Random(12)
+    bodies = []
+    for i in range(60):
+        records = [{"userIdentity": {"arn": f"arn:{i % 3}"}, "requestParameters": tree(rng, 4), "responseElements": {"x": tree(rng, 3)}} for _ in range(rng.randint(0, 4))]
+        bodies.append((i, json.dumps({"Records": [*records, None, 7]})))
+    bodies += [(100, None), (101, ""), (102, '{"Records": [{"a"'), (5, bodies[5][1])]
+    df = spark.createDataFrame(bodies, "raw_id long, body string")
+    joined = inside(shred(df, types=("item",)), shred(df, types=("record",)).dropDuplicates(["doc_id", "record_pos"]), {"arn": "value"})
+    want = sorted(map(tuple, joined.select("doc_id", "record_pos", "arn", "side", "array_path", "item_pos").collect()))
+    assert sorted(map(tuple, array_items(df).collect())) == want and len(want) > 100
