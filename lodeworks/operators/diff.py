@@ -11,7 +11,7 @@ multiplies rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from enum import Enum
 from functools import reduce
 
@@ -106,8 +106,11 @@ def keyed_observations(observations: DataFrame, subjects: list[Subject], pair: t
     parts = []
     for s in subjects:
         own = observations.where(F.col("entity_table") == s.table)
-        subject = s.rows.select(F.col(s.id).alias("_id"), F.col(s.key).alias("_key"))
-        joined = own.join(subject, F.col("entity_id") == F.col("_id"), "left")
+        # Where the subjects come in pairs of versions too, an id counts within its pair.
+        within = [c for c in pair if c in s.rows.columns]
+        subject = s.rows.select(F.col(s.id).alias("_id"), F.col(s.key).alias("_key"), *[F.col(c).alias("_p_" + c) for c in within])
+        tests = [F.col("entity_id") == F.col("_id"), *[F.col(c).eqNullSafe(F.col("_p_" + c)) for c in within]]
+        joined = own.join(subject, reduce(lambda x, y: x & y, tests), "left")
         joined = joined.where(F.col("_id").isNull() | F.col("_key").isNotNull())
         parts.append(joined.select(*pair, "entity_table", F.coalesce(F.col("_key").cast("string"), F.concat(F.lit("id:"), F.col("entity_id").cast("string"))).alias("natural_key"), "event_type", "observed_at", F.col("_id").isNotNull().alias("resolved")))
     other = observations.where(~F.coalesce(F.col("entity_table").isin(*[s.table for s in subjects]), F.lit(False)))
@@ -146,84 +149,146 @@ def resolution_diff(old: DataFrame, new: DataFrame, pair: list[str] | None = Non
 
 @dataclass
 class DiffResult:
-    """One comparison; its DataFrames are lazy."""
+    """One comparison; its DataFrames are lazy. ``keys`` are the columns of the natural key."""
 
     table: str
-    key_column: str
-    category: Category = Category.CHANGE
+    keys: tuple[str, ...]
     added: DataFrame | None = None
     removed: DataFrame | None = None
     changed: DataFrame | None = None
     structural: DataFrame | None = None
+    category: Category | None = None
     pair: tuple[str, ...] = ()
 
-    def unified(self, name: str) -> DataFrame | None:
-        """Rows (result, category, key, old_value, new_value) of all parts; the key is led by the pair, if any."""
-        text = lambda df, c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
-        key_of = lambda df: F.concat_ws("|", *[F.col(c).cast("string") for c in self.pair], text(df, self.key_column)) if self.pair else text(df, self.key_column)
-        parts = []
-        for part, category in ((self.added, Category.ADDITION), (self.removed, Category.DELETION), (self.changed, Category.CHANGE), (self.structural, Category.STRUCTURAL)):
-            if part is not None:
-                parts.append(part.select(F.lit(name).alias("result"), F.lit(category.value).alias("category"), key_of(part).alias("key"), text(part, "old_value").alias("old_value"), text(part, "new_value").alias("new_value")))
-        return reduce(DataFrame.unionByName, parts) if parts else None
+    @property
+    def key_column(self) -> str:
+        return self.keys[0]
 
-    def total_changes(self) -> int:
-        return sum(p.count() for p in (self.added, self.removed, self.changed, self.structural) if p is not None)
+    def parts(self) -> list[tuple[DataFrame, Category]]:
+        """The comparisons there are, each with what it says; a resolution result says so in all of them."""
+        told = ((self.added, Category.ADDITION), (self.removed, Category.DELETION), (self.changed, Category.CHANGE), (self.structural, Category.STRUCTURAL))
+        return [(part, self.category or category) for part, category in told if part is not None]
 
+    def unified(self, name: str) -> DataFrame:
+        """Rows (result, category, key, old_value, new_value) of all parts.
 
-@dataclass
-class TableSpec:
-    """What the full comparison does with one table."""
+        The key is its columns joined by bars, led by the pair, if any; nulls are empty.
+        """
+        text = lambda df, c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+        key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*self.pair, *self.keys)])
+        out = [part.select(F.lit(name).alias("result"), F.lit(category.value).alias("category"), key.alias("key"), text(part, "old_value").alias("old_value"), text(part, "new_value").alias("new_value")) for part, category in self.parts()]
+        return reduce(DataFrame.unionByName, out)
 
-    table: str
-    keys: list[str]
-    compare: str | None = None
-    moved_by: list[str] | None = None
-    owner: Column | None = field(default=None)
+    def total_changes(self) -> int:
+        return sum(part.count() for part, _ in self.parts())
 
 
 class Differ:
     """Full comparison of two workspaces given as tables by name.
 
-    Where the tables hold many pairs of versions, ``pair`` names the columns that tell the pairs apart.
+    Only natural keys are compared: rows that name their owner by a surrogate id are joined
+    with it first. A comparison takes place if both sides have all the tables it needs.
+    Where the tables hold many pairs of versions, ``pair`` names the columns that tell the
+    pairs apart; ids need only be unique within a pair.
     """
 
-    #: Tables compared on natural keys, when both sides have them.
-    SPECS = (
-        TableSpec("files", ["path"], "size"),
-        TableSpec("binaries", ["bundle_id", "executable_name"], "arch"),
-        TableSpec("daemons", ["label"], "program"),
-        TableSpec("kexts", ["bundle_id"], "version"),
-        TableSpec("frameworks", ["path"], "version"),
-        TableSpec("sandbox_profiles", ["name"], "rule_count"),
-        TableSpec("entitlements", ["binary_id", "key", "value"]),
-        TableSpec("sandbox_rules", ["profile_id", "operation", "action", "filter_type", "filter_value"]),
-        TableSpec("mach_services", ["daemon_id", "service_name"]),
+    #: Tables with a natural key of their own.
+    PLAIN = {"files": "path", "daemons": "label", "kexts": "bundle_id", "frameworks": "path", "sandbox_profiles": "name"}
+    #: (table, link to the owner, owner, the owner's natural key, own part of the key).
+    OWNED = (
+        ("binaries", "file_id", "files", "path", ("bundle_id", "executable_name")),
+        ("entitlements", "binary_id", "binaries", "bundle_id", ("key", "value")),
+        ("sandbox_rules", "profile_id", "sandbox_profiles", "name", ("operation", "action", "filter_type", "filter_value")),
+        ("mach_services", "daemon_id", "daemons", "label", ("service_name",)),
     )
 
     def __init__(self, old: dict[str, DataFrame], new: dict[str, DataFrame], pair: tuple[str, ...] = ()) -> None:
         self.old, self.new, self.pair = old, new, pair
 
+    def _there(self, *tables: str) -> bool:
+        return all(t in self.old and t in self.new for t in tables)
+
+    def _with_owner(self, rows: DataFrame, link: str, owners: DataFrame, key: Column) -> DataFrame:
+        """Rows with the owner's key as ``owner``; rows whose owner is missing are left out."""
+        held = owners.select(*[F.col(c).alias("_p_" + c) for c in self.pair], F.col("id").alias("_id"), key.alias("owner"))
+        tests = [F.col(link) == F.col("_id"), *[F.col(c).eqNullSafe(F.col("_p_" + c)) for c in self.pair]]
+        return rows.join(held, reduce(lambda x, y: x & y, tests)).drop("_id", *["_p_" + c for c in self.pair])
+
+    def _owned(self, side: dict[str, DataFrame], table: str, link: str, owner: str, key: str) -> DataFrame:
+        return self._with_owner(side[table], link, side[owner], F.col(key))
+
+    def _named_binaries(self, side: dict[str, DataFrame]) -> DataFrame:
+        """Binaries with the steadiest name they have as ``name``: bundle, executable, else the path."""
+        placed = self._owned(side, "binaries", "file_id", "files", "path")
+        return placed.withColumn("name", F.coalesce("bundle_id", "executable_name", F.concat(F.lit("path:"), F.col("owner"))))
+
+    def _reassigned(self, kind: str, table: str, keys: list[str], link: str, owners: tuple[DataFrame, DataFrame], owner_key: str, entity: Column) -> DataFrame:
+        """Rows whose key is in one row on each side, under another owner: pair, type, entity, old_value, new_value."""
+        sides = []
+        for side, owner, name in ((self.old, owners[0], "old_value"), (self.new, owners[1], "new_value")):
+            known = side[table].where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys]))
+            once = known.groupBy(*self.pair, *keys).agg(F.count("*").alias("_n"), F.first(link).alias("_link")).where("_n = 1")
+            sides.append(self._with_owner(once, "_link", owner, F.col(owner_key)).select(*self.pair, *keys, F.col("owner").alias(name)))
+        moved = sides[0].join(sides[1], [*self.pair, *keys]).where(~F.col("old_value").eqNullSafe(F.col("new_value")))
+        return moved.select(*self.pair, F.lit(kind).alias("type"), entity.alias("entity"), "old_value", "new_value")
+
+    def structural(self) -> DataFrame | None:
+        """Executables in another file, rules of another profile, grants of another binary."""
+        parts = []
+        if self._there("binaries", "files"):
+            parts.append(self._reassigned("binary_file_moved", "binaries", ["executable_name"], "file_id", (self.old["files"], self.new["files"]), "path", F.col("executable_name")))
+        if self._there("sandbox_rules", "sandbox_profiles"):
+            parts.append(self._reassigned("sandbox_rule_reassigned", "sandbox_rules", ["operation", "action"], "profile_id", (self.old["sandbox_profiles"], self.new["sandbox_profiles"]), "name", F.concat_ws(":", "operation", "action")))
+        if self._there("entitlements", "binaries", "files"):
+            parts.append(self._reassigned("entitlement_reassigned", "entitlements", ["key", "value"], "binary_id", tuple(self._named_binaries(s) for s in (self.old, self.new)), "name", F.col("key")))
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def observations(self) -> DataFrame | None:
+        """observation_diff over the subjects' natural keys; a binary's is its file's path."""
+        if not self._there("observations"):
+            return None
+        sides = []
+        for side in (self.old, self.new):
+            subjects = [Subject(t, side[t], "id", k) for t, k in self.PLAIN.items() if self._there(t)]
+            if self._there("binaries", "files"):
+                subjects.append(Subject("binaries", self._owned(side, "binaries", "file_id", "files", "path"), "id", "owner"))
+            sides.append(keyed_observations(side["observations"], subjects, self.pair))
+        return observation_diff(*sides, self.pair)
+
     def full_diff(self) -> dict[str, DiffResult]:
         out: dict[str, DiffResult] = {}
-        for spec in self.SPECS:
-            if spec.table not in self.old or spec.table not in self.new:
-                continue
-            o, n = self.old[spec.table], self.new[spec.table]
-            key, keys = spec.keys[0], [*self.pair, *spec.keys]
-            out[f"{spec.table}_added"] = DiffResult(spec.table, key, Category.ADDITION, added=added_entities(o, n, keys), pair=self.pair)
-            out[f"{spec.table}_removed"] = DiffResult(spec.table, key, Category.DELETION, removed=removed_entities(o, n, keys), pair=self.pair)
-            if spec.compare:
-                out[f"{spec.table}_changed"] = DiffResult(spec.table, key, Category.CHANGE, changed=changed_entities(o, n, keys, spec.compare), pair=self.pair)
-        if "files" in self.old and "files" in self.new:
-            out["files_content"] = DiffResult("files", "path", Category.CHANGE, changed=files_changed(self.old["files"], self.new["files"], [*self.pair, "path"]), pair=self.pair)
-            out["files_moved"] = DiffResult("files", "sha256", Category.STRUCTURAL, structural=structural_diff(self.old["files"].where("sha256 IS NOT NULL"), self.new["files"].where("sha256 IS NOT NULL"), [*self.pair, "sha256"], F.col("path")), pair=self.pair)
+        pair = self.pair
+        for table, key in self.PLAIN.items():
+            if self._there(table):
+                old, new, keys = self.old[table], self.new[table], [*pair, key]
+                out[f"{table}_added"] = DiffResult(table, (key,), added=added_entities(old, new, keys), pair=pair)
+                out[f"{table}_removed"] = DiffResult(table, (key,), removed=removed_entities(old, new, keys), pair=pair)
+                if table == "files":
+                    changes = files_changed(old, new, keys).withColumnRenamed("change_basis", "new_value")
+                    out["files_changed"] = DiffResult(table, (key,), changed=changes, pair=pair)
+        for table, link, owner, owner_key, own in self.OWNED:
+            if self._there(table, owner):
+                old, new = (self._owned(s, table, link, owner, owner_key) for s in (self.old, self.new))
+                keys = ("owner", *own)
+                out[table] = DiffResult(table, keys, added_entities(old, new, [*pair, *keys]), removed_entities(old, new, [*pair, *keys]), pair=pair)
+        if (moved := self.structural()) is not None:
+            out["structural"] = DiffResult("cross_table", ("type", "entity"), structural=moved, pair=pair)
+        if (seen := self.observations()) is not None:
+            out["observations"] = DiffResult("observations", ("entity_table", "natural_key", "event_type", "observed_at"), seen.where("side = 'added'"), seen.where("side = 'removed'"), pair=pair)
+        if self._there("bags"):
+            value = lambda side: F.concat_ws("|", F.col(f"{side}_count").cast("string"), F.col(f"{side}_score").cast("decimal(38,6)").cast("string"))
+            bags = resolution_diff(self.old["bags"], self.new["bags"], list(pair)).withColumns({"old_value": value("old"), "new_value": value("new")})
+            parts = [bags.where(F.col("kind") == k) for k in ("added", "removed", "changed")]
+            out["resolution"] = DiffResult("bags", ("entity_type", "canonical_key"), *parts, category=Category.RESOLUTION, pair=pair)
+        if self._there("files"):
+            # An extension: contents that stand once on both sides, under another path.
+            known = (t["files"].where("sha256 IS NOT NULL") for t in (self.old, self.new))
+            out["files_moved"] = DiffResult("files", ("sha256",), structural=structural_diff(*known, [*pair, "sha256"], F.col("path")), pair=pair)
         return out
 
     def unified(self) -> DataFrame:
         """All changes of all results in one frame."""
-        parts = [p for name, r in self.full_diff().items() if (p := r.unified(name)) is not None]
-        return reduce(DataFrame.unionByName, parts)
+        return reduce(DataFrame.unionByName, [r.unified(name) for name, r in self.full_diff().items()])
 
     def summary(self) -> DataFrame:
         return self.unified().groupBy("result", "category").agg(F.count("*").alias("changes"))
@@ -235,7 +300,7 @@ class Differ:
         lines = ["# Version comparison", ""]
         for name, result in self.full_diff().items():
             frame = result.unified(name)
-            rows = frame.orderBy("category", "key").limit(per_section + 1).collect() if frame is not None else []
+            rows = frame.orderBy("category", "key").limit(per_section + 1).collect()
             if not rows:
                 continue
             lines.append(f"## {sanitize(name)}")

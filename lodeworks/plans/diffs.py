@@ -122,11 +122,48 @@ def d18_diff_summary(spark, sf):
     return diff.Differ({"files": files[0], "daemons": daemons[0]}, {"files": files[1], "daemons": daemons[1]}, ("pair_id",)).summary()
 
 
+#: Added to every id of the newer side, so that no id means the same on both.
+SHIFT = 1_000_000_000_000
+
+
+def workspaces(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Two workspaces per pair of snapshots, made of files and daemons, with unrelated ids.
+
+    Programs are binaries of their files, profiles and rules come from the daemons' profiles,
+    services and grants from their programs, observations are the daemons' sessions, bags
+    are files of one name.
+    """
+    out = []
+    for shift, files, daemons in zip((0, SHIFT), sides(spark, sf, "files", FILE_COLUMNS), sides(spark, sf, "daemons", DAEMON_COLUMNS)):
+        f = diff.first_wins(files, ["pair_id", "path"], [F.col("id")]).withColumn("id", F.col("id") + shift)
+        d = diff.first_wins(daemons, ["pair_id", "label"], [F.col("id")]).withColumn("id", F.col("id") + shift)
+        binaries = f.where(F.col("file_type").isin("macho", "elf", "pe")).select("pair_id", (F.col("id") * 2 + 1).alias("id"), F.col("id").alias("file_id"), F.lit(None).cast("string").alias("bundle_id"), F.col("filename").alias("executable_name"))
+        profiles = d.where("sandbox_profile IS NOT NULL").groupBy("pair_id", F.col("sandbox_profile").alias("name")).agg(F.min("id").alias("id"))
+        rules = d.where("sandbox_profile IS NOT NULL").join(profiles.select("pair_id", F.col("name").alias("sandbox_profile"), F.col("id").alias("profile_id")), ["pair_id", "sandbox_profile"])
+        programs = f.join(binaries.select("pair_id", F.col("file_id").alias("id"), F.col("id").alias("binary_id")), ["pair_id", "id"]).select("pair_id", F.col("path").alias("program"), "binary_id")
+        out.append({
+            "files": f,
+            "daemons": d,
+            "binaries": binaries,
+            "sandbox_profiles": profiles,
+            "sandbox_rules": rules.select("pair_id", "profile_id", F.col("label").alias("operation"), F.col("user_name").alias("action"), F.col("group_name").alias("filter_type"), F.col("session_type").alias("filter_value")),
+            "mach_services": d.select("pair_id", F.col("id").alias("daemon_id"), F.col("program").alias("service_name")),
+            "entitlements": d.drop("binary_id").join(programs, ["pair_id", "program"]).select("pair_id", "binary_id", F.col("label").alias("key"), F.col("user_name").alias("value")),
+            "observations": d.select("pair_id", F.lit("daemons").alias("entity_table"), F.col("id").alias("entity_id"), F.col("session_type").alias("event_type"), F.col("plist_path").alias("observed_at")),
+            "bags": _bags(f.where(F.col("file_type").isNotNull())),
+        })
+    return out[0], out[1]
+
+
+def d16_full_diff(spark, sf):
+    return diff.Differ(*workspaces(spark, sf), ("pair_id",)).unified()
+
+
 def k06_markdown_sanitize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", sanitize_column(F.col("text")).alias("safe"))
 
 
-QUERIES = {f.__name__: f for f in (d01_added, d02_removed, d03_changed, d04_new_grants, d05_dangerous_grants, d06_moved_binaries, d07_reassigned_rules, d08_reassigned_grants, d09_observation_diff, d10_files_changed, d11_binaries_diff, d12_entitlements_diff, d13_rules_diff, d14_services_diff, d15_resolution_diff, d18_diff_summary, k06_markdown_sanitize)}
+QUERIES = {f.__name__: f for f in (d01_added, d02_removed, d03_changed, d04_new_grants, d05_dangerous_grants, d06_moved_binaries, d07_reassigned_rules, d08_reassigned_grants, d09_observation_diff, d10_files_changed, d11_binaries_diff, d12_entitlements_diff, d13_rules_diff, d14_services_diff, d15_resolution_diff, d16_full_diff, d18_diff_summary, k06_markdown_sanitize)}
 
 _RUNS = """
 runs AS (SELECT id AS n, lag(id) OVER (PARTITION BY source_path ORDER BY started_at, id) AS o FROM versions
@@ -164,13 +201,57 @@ SELECT {', '.join('a.' + k for k in keys)}, b.v AS old_value, a.v AS new_value F
 _PROGRAM = "x.file_type IN ('macho','elf','pe')"
 _OBS = """
 obs AS (
-  SELECT side, CASE WHEN d.binary_id IS NOT NULL THEN 'binaries' ELSE 'loose' END AS entity_table, d.binary_id IS NOT NULL AND b.id IS NOT NULL AS resolved,
+  SELECT side, pair_id, CASE WHEN d.binary_id IS NOT NULL THEN 'binaries' ELSE 'loose' END AS entity_table, d.binary_id IS NOT NULL AND b.id IS NOT NULL AS resolved,
          CASE WHEN b.id IS NOT NULL THEN b.executable_name ELSE 'id:' || CAST(coalesce(d.binary_id, d.id) AS VARCHAR) END AS natural_key,
          d.session_type AS event_type, d.observed_time AS observed_at
   FROM (SELECT 'added' AS side, * FROM dnew UNION ALL SELECT 'removed', * FROM dold) d LEFT JOIN binaries b ON b.id = d.binary_id
   WHERE b.id IS NULL OR b.executable_name IS NOT NULL)
 """
 
+
+def _spaces() -> str:
+    """The workspaces of d16 side by side (o, n) and the changes of all comparisons, without ids of any kind in the comparisons."""
+    parts = []
+    for x, f, d in (("o", "fo1", "dold"), ("n", "fn1", "dnew")):
+        parts += [
+            f"wf{x} AS (SELECT * FROM {f})",
+            f"wd{x} AS (SELECT * FROM {d} QUALIFY row_number() OVER (PARTITION BY pair_id, label ORDER BY id) = 1)",
+            f"wb{x} AS (SELECT pair_id, path AS owner, CAST(NULL AS VARCHAR) AS bundle_id, filename AS executable_name FROM wf{x} WHERE file_type IN ('macho','elf','pe'))",
+            f"wr{x} AS (SELECT pair_id, sandbox_profile AS owner, label AS operation, user_name AS action, group_name AS filter_type, session_type AS filter_value FROM wd{x} WHERE sandbox_profile IS NOT NULL)",
+            f"ws{x} AS (SELECT pair_id, label AS owner, program AS service_name FROM wd{x})",
+            f"wp{x} AS (SELECT DISTINCT pair_id, sandbox_profile AS name FROM wd{x} WHERE sandbox_profile IS NOT NULL)",
+            f"we{x} AS (SELECT d.pair_id, b.bundle_id AS owner, d.label AS key, d.user_name AS value, coalesce(b.executable_name, 'path:' || b.owner) AS held FROM wd{x} d JOIN wb{x} b ON b.pair_id = d.pair_id AND b.owner = d.program)",
+            f"wv{x} AS (SELECT DISTINCT pair_id, label AS natural_key, session_type AS event_type, plist_path AS observed_at FROM wd{x} WHERE label IS NOT NULL)",
+            f"wg{x} AS (SELECT pair_id, file_type AS entity_type, lower(filename) AS canonical_key, count(*) AS c, max(CAST(size AS DOUBLE)) AS s FROM wf{x} WHERE file_type IS NOT NULL AND filename IS NOT NULL GROUP BY ALL)",
+        ]
+
+    def key(*columns: str, of: str = "x") -> str:
+        return "concat_ws('|', " + ", ".join(f"coalesce(CAST({of}.{c} AS VARCHAR), '')" for c in ("pair_id", *columns)) + ")"
+
+    def row(result: str, category: str, k: str, old: str = "NULL", new: str = "NULL", rest: str = "") -> str:
+        return f"SELECT '{result}' AS result, '{category}' AS category, {k} AS key, CAST({old} AS VARCHAR) AS old_value, CAST({new} AS VARCHAR) AS new_value FROM {rest}"
+
+    rows = []
+    for name, letter, keys in (("files", "f", ("path",)), ("daemons", "d", ("label",)), ("sandbox_profiles", "p", ("name",)), ("binaries", "b", ("owner", "bundle_id", "executable_name")), ("entitlements", "e", ("owner", "key", "value")), ("sandbox_rules", "r", ("owner", "operation", "action", "filter_type", "filter_value")), ("mach_services", "s", ("owner", "service_name")), ("observations", "v", ("natural_key", "event_type", "observed_at"))):
+        test = " AND ".join(f"x.{c} IS NOT DISTINCT FROM y.{c}" for c in ("pair_id", *keys))
+        shown = key(*keys).replace("'|', coalesce(CAST(x.pair_id AS VARCHAR), ''), ", "'|', coalesce(CAST(x.pair_id AS VARCHAR), ''), 'daemons', ") if name == "observations" else key(*keys)
+        for suffix, category, mine, other in (("_added", "addition", "n", "o"), ("_removed", "deletion", "o", "n")):
+            rows.append(row(name + (suffix if letter in "fdp" else ""), category, shown, rest=f"w{letter}{mine} x WHERE NOT EXISTS (SELECT 1 FROM w{letter}{other} y WHERE {test})"))
+    changed = "CASE WHEN x.sha256 IS NOT NULL AND y.sha256 IS NOT NULL THEN x.sha256 <> y.sha256 ELSE x.size IS DISTINCT FROM y.size END"
+    rows.append(row("files_changed", "property_change", key("path"), new="CASE WHEN x.sha256 IS NOT NULL AND y.sha256 IS NOT NULL THEN 'sha256' ELSE 'size' END", rest=f"wfn x JOIN wfo y ON x.pair_id = y.pair_id AND x.path IS NOT DISTINCT FROM y.path WHERE {changed}"))
+    for kind, table, keys, owner, entity in (("binary_file_moved", "b", ("executable_name",), "owner", "x.executable_name"), ("sandbox_rule_reassigned", "r", ("operation", "action"), "owner", "x.operation || ':' || x.action"), ("entitlement_reassigned", "e", ("key", "value"), "held", "x.key")):
+        once = lambda s: f"(SELECT pair_id, {', '.join(keys)}, any_value({owner}) AS w FROM w{table}{s} WHERE {' AND '.join(k + ' IS NOT NULL' for k in keys)} GROUP BY pair_id, {', '.join(keys)} HAVING count(*) = 1)"  # noqa: B023,E731
+        rows.append(row("structural", "structural", f"x.pair_id || '|{kind}|' || {entity}", "x.w", "y.w", f"{once('o')} x JOIN {once('n')} y USING (pair_id, {', '.join(keys)}) WHERE x.w IS DISTINCT FROM y.w"))
+    told = lambda a: f"concat_ws('|', CAST({a}.c AS VARCHAR), CAST(CAST({a}.s AS DECIMAL(38,6)) AS VARCHAR))"
+    whole = "coalesce(x.pair_id, y.pair_id) || '|' || coalesce(x.entity_type, y.entity_type) || '|' || coalesce(x.canonical_key, y.canonical_key)"
+    rows.append(row("resolution", "resolution", whole, told("x"), told("y"), "wgo x FULL OUTER JOIN wgn y ON x.pair_id = y.pair_id AND x.entity_type = y.entity_type AND x.canonical_key = y.canonical_key WHERE x.c IS DISTINCT FROM y.c OR x.s IS DISTINCT FROM y.s"))
+    once = lambda s: f"(SELECT pair_id, sha256, any_value(path) AS w FROM wf{s} WHERE sha256 IS NOT NULL GROUP BY pair_id, sha256 HAVING count(*) = 1)"
+    rows.append(row("files_moved", "structural", "x.pair_id || '|' || x.sha256", "x.w", "y.w", f"{once('o')} x JOIN {once('n')} y USING (pair_id, sha256) WHERE x.w IS DISTINCT FROM y.w"))
+    return ", ".join(parts) + ", u AS (" + " UNION ALL ".join(rows) + ")"
+
+
+_SPACES = _spaces()
+
 ORACLE = {
     "d01_added": f"WITH {_RUNS} " + _anti("fn", "fo", ["pair_id", "path"], "x.pair_id, x.path, x.id"),
     "d02_removed": f"WITH {_RUNS} " + _anti("fo", "fn", ["pair_id", "path"], "x.pair_id, x.path, x.id"),
@@ -181,8 +262,8 @@ ORACLE = {
     "d07_reassigned_rules": _moved("dold", "dnew", ["pair_id", "program", "session_type"], "sandbox_profile"),
     "d08_reassigned_grants": _moved("dold", "dnew", ["pair_id", "plist_path", "program"], "coalesce(sandbox_profile, user_name, 'path:' || plist_path)"),
     "d09_observation_diff": f"""WITH {_RUNS}, {_OBS}
-SELECT DISTINCT side, entity_table, natural_key, event_type, observed_at FROM obs x
-WHERE NOT resolved OR NOT EXISTS (SELECT 1 FROM obs y WHERE y.resolved AND y.side <> x.side AND y.entity_table = x.entity_table AND y.natural_key = x.natural_key
+SELECT DISTINCT side, pair_id, entity_table, natural_key, event_type, observed_at FROM obs x
+WHERE NOT resolved OR NOT EXISTS (SELECT 1 FROM obs y WHERE y.resolved AND y.side <> x.side AND y.pair_id = x.pair_id AND y.entity_table = x.entity_table AND y.natural_key = x.natural_key
   AND y.event_type IS NOT DISTINCT FROM x.event_type AND y.observed_at IS NOT DISTINCT FROM x.observed_at)""",
     "d10_files_changed": f"""WITH {_RUNS} SELECT n.pair_id, n.path,
 CASE WHEN n.sha256 IS NOT NULL AND o.sha256 IS NOT NULL THEN 'sha256' ELSE 'size' END AS change_basis,
@@ -198,21 +279,7 @@ o AS (SELECT pair_id, file_type AS entity_type, lower(filename) AS canonical_key
 n AS (SELECT pair_id, file_type AS entity_type, lower(filename) AS canonical_key, count(*) AS c, max(CAST(size AS DOUBLE)) AS s FROM fn WHERE file_type IS NOT NULL AND filename IS NOT NULL GROUP BY ALL)
 SELECT CASE WHEN o.c IS NULL THEN 'added' WHEN n.c IS NULL THEN 'removed' ELSE 'changed' END AS kind, pair_id, entity_type, canonical_key, o.c AS old_count, n.c AS new_count, o.s AS old_score, n.s AS new_score
 FROM o FULL OUTER JOIN n USING (pair_id, entity_type, canonical_key) WHERE o.c IS DISTINCT FROM n.c OR o.s IS DISTINCT FROM n.s""",
-    "d18_diff_summary": f"""WITH {_RUNS},
-a AS (SELECT * FROM fo1), b AS (SELECT * FROM fn1),
-c AS (SELECT * FROM dold QUALIFY row_number() OVER (PARTITION BY pair_id, label ORDER BY id) = 1),
-d AS (SELECT * FROM dnew QUALIFY row_number() OVER (PARTITION BY pair_id, label ORDER BY id) = 1),
-h1 AS (SELECT sha256, any_value(path) AS p, any_value(pair_id) AS q FROM a WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) = 1),
-h2 AS (SELECT sha256, any_value(path) AS p, any_value(pair_id) AS q FROM b WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) = 1),
-r AS (
-  SELECT 'files_added' AS result, 'addition' AS category, count(*) AS changes FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.pair_id = b.pair_id AND a.path = b.path)
-  UNION ALL SELECT 'files_removed', 'deletion', count(*) FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.pair_id = b.pair_id AND a.path = b.path)
-  UNION ALL SELECT 'files_changed', 'property_change', count(*) FROM a JOIN b ON a.pair_id = b.pair_id AND a.path = b.path WHERE a.size IS DISTINCT FROM b.size
-  UNION ALL SELECT 'files_content', 'property_change', count(*) FROM a JOIN b ON a.pair_id = b.pair_id AND a.path = b.path WHERE CASE WHEN a.sha256 IS NOT NULL AND b.sha256 IS NOT NULL THEN a.sha256 <> b.sha256 ELSE a.size IS DISTINCT FROM b.size END
-  UNION ALL SELECT 'files_moved', 'structural', count(*) FROM h1 JOIN h2 USING (sha256) WHERE h1.q <> h2.q OR h1.p <> h2.p
-  UNION ALL SELECT 'daemons_added', 'addition', count(*) FROM d WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.pair_id = d.pair_id AND c.label = d.label)
-  UNION ALL SELECT 'daemons_removed', 'deletion', count(*) FROM c WHERE NOT EXISTS (SELECT 1 FROM d WHERE c.pair_id = d.pair_id AND c.label = d.label)
-  UNION ALL SELECT 'daemons_changed', 'property_change', count(*) FROM c JOIN d ON c.pair_id = d.pair_id AND c.label = d.label WHERE c.program IS DISTINCT FROM d.program)
-SELECT result, category, changes FROM r WHERE changes > 0""",
-    "k06_markdown_sanitize": "SELECT doc_id, " + "".join(["replace(" for _ in range(68)]) + "text, '\\', '\\\\'), '`', '\\x60'), '|', '\\|')" + "".join(f", chr({c}), '\\x{c:02x}')" for c in [*range(1, 32), *range(127, 160)]) + ", chr(0), '\\x00') AS safe FROM documents",
+    "d16_full_diff": f"WITH {_RUNS}, {_SPACES} SELECT result, category, key, old_value, new_value FROM u",
+    "d18_diff_summary": f"WITH {_RUNS}, {_SPACES} SELECT result, category, count(*) AS changes FROM u WHERE result LIKE 'files%' OR result LIKE 'daemons%' GROUP BY ALL",
+    "k06_markdown_sanitize": "SELECT doc_id, " + "".join(["replace(" for _ in range(68)]) + "coalesce(text, '?'), '\\', '\\\\'), '`', '\\x60'), '|', '\\|')" + "".join(f", chr({c}), '\\x{c:02x}')" for c in [*range(1, 32), *range(127, 160)]) + ", chr(0), '\\x00') AS safe FROM documents",
 }

@@ -121,3 +121,40 @@ def test_upsert(spark):
     more = spark.createDataFrame([(2, "a", "new"), (4, "b", "late"), (3, "b", "first"), (5, None, "n"), (6, None, "n")], KEYED)
     got = rows(diff.upsert_ignore(there, more, ["k"], [F.col("id")]).fillna("-"))
     assert got == [(1, "a", "old"), (3, "b", "first"), (5, "-", "n"), (6, "-", "n")]
+
+
+def test_full_diff_compares_no_surrogate_ids(spark):
+    """Two workspaces equal but for their ids have no change; one real change per table shows once."""
+    from lodeworks import schema
+
+    def space(shift, extra=False):
+        t = schema.empty(spark)
+        files = [(1 + shift, "/app", "h1", 5), (2 + shift, "/big", None, 9)] + ([(3 + shift, "/new", "h3", 1)] if extra else [])
+        put = {
+            "files": ("id long, path string, sha256 string, size long", files),
+            "binaries": ("id long, file_id long, bundle_id string, executable_name string", [(50 + shift, 1 + shift, "com.app", "app")]),
+            "entitlements": ("id long, binary_id long, key string, value string", [(7 + shift, 50 + shift, "k", "v")] + ([(8 + shift, 50 + shift, "k2", None)] if extra else [])),
+            "sandbox_profiles": ("id long, name string", [(3 + shift, "p"), (4 + shift, "q")]),
+            "sandbox_rules": ("id long, profile_id long, operation string, action string", [(1 + shift, (4 if extra else 3) + shift, "read", "deny")]),
+            "daemons": ("id long, label string, program string", [(9 + shift, "d", "/app")]),
+            "mach_services": ("id long, daemon_id long, service_name string", [(1 + shift, 9 + shift, "s")] + ([(2 + shift, 9 + shift, "s2")] if extra else [])),
+            "observations": ("id long, entity_table string, entity_id long, event_type string, observed_at string", [(1, "binaries", 50 + shift, "seen", "t"), (2, "daemons", 9 + shift, "late" if extra else "seen", "t")]),
+            "bags": ("id long, entity_type string, canonical_key string, atom_count long, score double", [(1 + shift, "files", "b", 3 if extra else 2, 0.9)]),
+        }
+        for name, (ddl, data) in put.items():
+            t[name] = schema.conform(spark.createDataFrame(data, ddl), name)
+        return t
+
+    assert diff.Differ(space(0), space(1000)).unified().count() == 0
+    got = rows(diff.Differ(space(0), space(1000, extra=True)).unified().fillna("-"))
+    assert got == sorted([
+        ("files_added", "addition", "/new", "-", "-"),
+        ("entitlements", "addition", "com.app|k2|", "-", "-"),
+        ("sandbox_rules", "addition", "q|read|deny||", "-", "-"),
+        ("sandbox_rules", "deletion", "p|read|deny||", "-", "-"),
+        ("mach_services", "addition", "d|s2", "-", "-"),
+        ("structural", "structural", "sandbox_rule_reassigned|read:deny", "p", "q"),
+        ("observations", "addition", "daemons|d|late|t", "-", "-"),
+        ("observations", "deletion", "daemons|d|seen|t", "-", "-"),
+        ("resolution", "resolution", "files|b", "2|0.900000", "3|0.900000"),
+    ])
