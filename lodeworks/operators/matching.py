@@ -91,6 +91,25 @@ def bucket_pairs(atoms: DataFrame, fields: list[str], cap: int = BUCKET_CAP, ref
     return pairs.distinct()
 
 
+def hot_pairs(atoms: DataFrame, fields: list[str], scored: list[str], refine: list[str], cap: int = BUCKET_CAP) -> DataFrame:
+    """(atom_a, atom_b) within buckets above ``cap``, linear in their rows.
+
+    Atoms equal in all ``scored`` fields form a class and are linked to its smallest; the
+    smallest of the classes are paired in sub-buckets by each further field of ``refine`` of 2 to
+    ``cap``. What a sub-bucket still has too many of ``bucket_overflow`` reports.
+    """
+    large = bucket_overflow(atoms, fields, cap).select("bucket")
+    hot = atoms.withColumn("bucket", bucket_key(fields)).join(large, "bucket", "left_semi")
+    equal = ["bucket", *scored]
+    classes = hot.groupBy(*equal).agg(F.min("id").alias("first"))
+    same = hot.alias("h").join(classes.alias("c"), reduce(lambda x, y: x & y, [F.col(f"h.{c}").eqNullSafe(F.col(f"c.{c}")) for c in equal])).where("first < id")
+    out = same.select(F.col("first").alias("atom_a"), F.col("id").alias("atom_b"))
+    firsts = classes.withColumnRenamed("first", "id")
+    for more in refine:
+        out = out.unionByName(bucket_pairs(firsts, ["bucket", more], cap))
+    return out.distinct()
+
+
 def token_pairs(atoms: DataFrame, cap: int = HIT_CAP) -> DataFrame:
     """(atom_a, atom_b) by shared tokens: those of an atom's source_key against all indexed text.
 
@@ -107,8 +126,11 @@ def token_pairs(atoms: DataFrame, cap: int = HIT_CAP) -> DataFrame:
     return kept.select(F.least("id", "hit").alias("atom_a"), F.greatest("id", "hit").alias("atom_b")).distinct()
 
 
-def candidate_pairs(atoms: DataFrame, bucket_fields: list[list[str]], tokens: bool = True) -> DataFrame:
+def candidate_pairs(atoms: DataFrame, bucket_fields: list[list[str]], tokens: bool = True, hot: tuple[list[str], list[str]] | None = None) -> DataFrame:
+    """Pairs by buckets and, unless off, by tokens; with ``hot`` (scored fields, refining fields) large buckets too."""
     parts = [bucket_pairs(atoms, fields) for fields in bucket_fields]
+    if hot:
+        parts += [hot_pairs(atoms, fields, *hot) for fields in bucket_fields]
     if tokens:
         parts.append(token_pairs(atoms))
     return reduce(DataFrame.unionByName, parts).distinct()
@@ -225,3 +247,9 @@ def score_pairs(pairs: DataFrame, atoms: DataFrame, entity_type: str) -> DataFra
     score, features = score_columns(entity_type)
     joined = pairs.join(side("a"), "atom_a").join(side("b"), "atom_b")
     return joined.select("atom_a", "atom_b", score.alias("score"), features.alias("features"))
+
+
+def hot_fields(entity_type: str, present: list[str]) -> tuple[list[str], list[str]]:
+    """What ``hot_pairs`` needs: the scored fields, and those of them heavy enough to refine a bucket by."""
+    rules = [r for r in SCORING_SPECS[entity_type] if r.field in present]
+    return [r.field for r in rules], [r.field for r in rules if r.weight >= 1.0]

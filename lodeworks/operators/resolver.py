@@ -32,6 +32,8 @@ class Resolution:
     events: DataFrame
     candidates: DataFrame | None = None
     counts: dict[str, int] | None = None
+    #: Atoms in buckets too large to be paired in full.
+    overflow: int = 0
 
     @staticmethod
     def empty(spark: SparkSession) -> Resolution:
@@ -115,10 +117,13 @@ def resolve(atoms: DataFrame, keys: list[str], entity_type: str) -> Resolution:
     return Resolution(rows, members, _event(members, "create", "exact"), counts={"merges": got[0], "atoms_resolved": got[1]})
 
 
-def resolve_scored(atoms: DataFrame, entity_type: str, threshold: float = THRESHOLD, resolved: DataFrame | None = None, blocking: list[list[str]] | None = None, tokens: bool = True) -> Resolution:
+def resolve_scored(atoms: DataFrame, entity_type: str, threshold: float = THRESHOLD, resolved: DataFrame | None = None, blocking: list[list[str]] | None = None, tokens: bool = True, hot: bool = True) -> Resolution:
     """Block, score, cluster and merge atoms that carry their fields as columns.
 
     Candidates come from the blocking fields and, unless ``tokens`` is off, from token search.
+    Buckets of more than ``matching.BUCKET_CAP`` atoms are not paired in full: unless ``hot`` is
+    off, their equal atoms are linked to the first of them and the rest within sub-buckets;
+    ``overflow`` of the result counts the atoms of such buckets.
     Only atoms without a bag take part (buckets are sized over all). Every scored pair is
     kept; pairs at or above the threshold link; a cluster is a bag whose key is the source
     key of its smallest atom and whose score is the mean of its links, with a ``create`` and
@@ -130,7 +135,8 @@ def resolve_scored(atoms: DataFrame, entity_type: str, threshold: float = THRESH
     if tokens and not {"entity_type", "properties"} <= set(atoms.columns):
         fields = sorted(r.field for r in matching.SCORING_SPECS[entity_type])
         atoms = atoms.withColumns({"entity_type": F.lit(entity_type), "properties": F.to_json(F.struct(*fields))})
-    pairs = matching.candidate_pairs(atoms, blocking or matching.BLOCKING[entity_type], tokens)
+    blocking = blocking or matching.BLOCKING[entity_type]
+    pairs = matching.candidate_pairs(atoms, blocking, tokens, matching.hot_fields(entity_type, atoms.columns) if hot else None)
     free = unresolved_atoms(atoms, resolved) if resolved is not None else atoms
     if resolved is not None:
         ids = free.select("id")
@@ -149,4 +155,5 @@ def resolve_scored(atoms: DataFrame, entity_type: str, threshold: float = THRESH
     created = _event(all_members, "create", "scored")
     resolved_events = _event(members, "resolve", "scored").drop("confidence").join(sized.select("bag_id", F.col("score").alias("confidence")), "bag_id").select(*created.columns)
     counts = {"clusters": bags.count(), "merges": links.count(), "atoms_resolved": members.count()}
-    return Resolution(bags.unionByName(singles), all_members, created.unionByName(resolved_events), scored, counts)
+    overflow = sum(matching.bucket_overflow(atoms, fields).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for fields in blocking)
+    return Resolution(bags.unionByName(singles), all_members, created.unionByName(resolved_events), scored, counts, overflow)

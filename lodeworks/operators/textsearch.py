@@ -13,20 +13,32 @@ table, ``inverted_index`` gives the (token, id) table to semi-join with.
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
-#: Letters with diacritics and what is left of them (fixed values for Latin scripts).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďđēĕėęěĝğģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżžơưǎǐǒǔ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccddeeeeegggh" + "iiiijklllnnnooorrrssssttuuuuuuwyzzzouaiou"
 LIMIT = 100
 
 
+def unmarked(text: str) -> str:
+    """Lower case, decomposed, without marks: what data and queries are compared by."""
+    return text.lower() if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c)[0] != "M")
+
+
+@arrow_udf(StringType())
+def _unmarked(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unmarked(t) for t in text.to_pylist()], pa.string())
+
+
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """``unmarked`` as a column; only texts beyond ASCII leave the JVM."""
+    wide = text.rlike(r"[^\x00-\x7f]")
+    return F.coalesce(_unmarked(F.when(wide, text)), F.lower(text))
 
 
 def token_list(text: Column) -> Column:
@@ -64,10 +76,9 @@ def _lex(query: str) -> list[_Token]:
 
 
 def _words(text: str) -> list[str]:
-    import unicodedata
-
-    bare = "".join(c for c in unicodedata.normalize("NFD", text.casefold()) if not unicodedata.combining(c))
-    return [w for w in re.split(r"[^\w]+|_", bare) if w]
+    """Tokens of a query, cut as ``token_list`` cuts the data."""
+    letters = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in unmarked(text))
+    return letters.split()
 
 
 class _Parser:

@@ -170,11 +170,9 @@ _SEARCHES = {
 QUERIES = {n: _search(t, c, i, q) for n, (t, c, i, q) in _SEARCHES.items()}
 QUERIES |= {f.__name__: f for f in (q01_raw_sql, q01_window_sql, q01_grouping_sets, q02_search_index, q03_root_daemons, q04_top_holders, q05_grants_of, q06_service_map, q07_service_owners, q08_daemons_with, q09_kernel_surface, q10_test_binaries, q11_escape_surface, q12_observations_for, q13_pattern_of_life, q14_first_seen, q15_cross_graph, q16_new_observations, q17_stats, q18_largest_files, q18_arch_distribution, q18_file_types, q18_merge_audit, q18_cross_source_bags, q19_canonical_count)}
 
-_A, _P = textsearch.ACCENTED, textsearch.PLAIN
-
 
 def _padded(column: str) -> str:
-    return f"' ' || array_to_string(list_filter(regexp_split_to_array(translate(lower(coalesce({column}, '')), '{_A}', '{_P}'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''), ' ') || ' '"
+    return f"' ' || array_to_string(list_filter(regexp_split_to_array(strip_accents(lower(coalesce({column}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''), ' ') || ' '"
 
 
 def _any(columns: list[str], needle: str) -> str:
@@ -196,7 +194,7 @@ ORACLE = {
     "q02_search_prefix": f"SELECT id, path, filename, file_type FROM files WHERE {_any(_F, ' gro')} AND NOT {_any(_F, ' runner ')} ORDER BY id LIMIT 100",
     "q02_search_column": f"SELECT id, label, program, mach_services, sandbox_profile FROM daemons WHERE {_any(['program'], ' usr ')} AND {_any(['label'], ' com ')} ORDER BY id LIMIT 100",
     "q02_search_accents": f"SELECT doc_id, text FROM documents WHERE {_any(['text'], ' hohe ')} ORDER BY doc_id LIMIT 100",
-    "q02_search_index": f"SELECT token, count(*) AS n FROM (SELECT DISTINCT id, unnest(list_filter(regexp_split_to_array(translate(lower(concat_ws(' ', path, filename, file_type)), '{_A}', '{_P}'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS token FROM files) GROUP BY token",
+    "q02_search_index": f"SELECT token, count(*) AS n FROM (SELECT DISTINCT id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(concat_ws(' ', path, filename, file_type))), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS token FROM files) GROUP BY token",
     "q03_root_daemons": "SELECT id, label, program, user_name, sandbox_profile FROM daemons WHERE (user_name IS NULL OR user_name = 'root') AND (sandbox_profile IS NULL OR sandbox_profile = '')",
     "q04_top_holders": f"WITH {_HOLDS} SELECT key, count(*) AS holders FROM holds GROUP BY key ORDER BY holders DESC, key LIMIT 50",
     "q05_grants_of": "SELECT p_brand AS key, s_name, n_name, l_orderkey, l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_brand IN ('Brand#2', 'Brand#17')",

@@ -204,6 +204,29 @@ def _weighted(*rules: tuple[str, str, float]) -> str:
     return f"coalesce(({top}) / nullif(({bottom})::DOUBLE, 0), 0.0::DOUBLE)"
 
 
+#: Pairs the default blocking proposes for files: one file name in a bucket of 2 to 200, or among the first 200 hits of the path's tokens.
+_CANDIDATES = f"""
+nm AS (SELECT id, lower(trim(filename)) AS b FROM fa WHERE coalesce(trim(filename), '') <> ''),
+nb AS (SELECT b FROM nm GROUP BY b HAVING count(*) BETWEEN 2 AND 200),
+tx AS (SELECT id, path, concat_ws(' ', 'files', path, CASE WHEN file_type IS NOT NULL THEN 'file_type ' || file_type END, CASE WHEN filename IS NOT NULL THEN 'filename ' || filename END,
+  CASE WHEN path IS NOT NULL THEN 'path' END, CASE WHEN sha256 IS NOT NULL THEN 'sha256 ' || sha256 END, CASE WHEN size IS NOT NULL THEN 'size ' || size END) AS t FROM fa),
+tk AS (SELECT id, unnest({_TOKEN.format("strip_accents(t)")}) AS token FROM tx),
+tq AS (SELECT DISTINCT path, unnest({_TOKEN.format("strip_accents(path)")}) AS token FROM (SELECT DISTINCT path FROM tx)),
+th AS (SELECT DISTINCT tq.path, tk.id AS hit FROM tq JOIN tk USING (token)),
+tr AS (SELECT tx.id, th.hit FROM th JOIN tx USING (path) WHERE tx.id <> th.hit QUALIFY row_number() OVER (PARTITION BY tx.id ORDER BY th.hit) <= 200),
+hot AS (SELECT f.*, nm.b FROM fa f JOIN nm USING (id) WHERE b IN (SELECT b FROM nm GROUP BY b HAVING count(*) > 200)),
+hc AS (SELECT id, min(id) OVER (PARTITION BY b, path, filename, size, sha256, file_type) AS first FROM hot),
+hr AS (SELECT hot.id, b || '|' || coalesce(lower(trim(sha256)), '') AS k1, b || '|' || coalesce(lower(trim(path)), '') AS k2, b || '|' || coalesce(lower(trim(filename)), '') AS k3 FROM hot JOIN hc ON hc.id = hot.id AND hc.first = hot.id),
+hk AS (SELECT id, unnest(['1' || k1, '2' || k2, '3' || k3]) AS k FROM hr),
+cand AS (
+  SELECT first AS atom_a, id AS atom_b FROM hc WHERE first < id
+  UNION SELECT x.id, y.id FROM hk x JOIN (SELECT k FROM hk GROUP BY k HAVING count(*) BETWEEN 2 AND 200) USING (k) JOIN hk y ON y.k = x.k AND x.id < y.id
+  UNION SELECT x.id AS atom_a, y.id AS atom_b FROM nm x JOIN nb USING (b) JOIN nm y ON y.b = x.b AND x.id < y.id
+  UNION SELECT least(id, hit), greatest(id, hit) FROM tr)
+"""
+_CLOSE = "CASE WHEN a.size = b.size THEN 1.0 ELSE greatest(0.0, 1.0 - CAST(abs(a.size - b.size) AS DOUBLE) / greatest(abs(a.size), abs(b.size))) END"
+_FILE_SCORE = _weighted(("(a.sha256 = b.sha256)::DOUBLE", "sha256", 3.0), (_eq("filename"), "filename", 1.5), (_suffix("a.path", "b.path"), "path", 1.0), (_CLOSE, "size", 0.5), ("(a.file_type = b.file_type)::DOUBLE", "file_type", 0.5))
+
 ORACLE = {
     "r02_atomize_files": "SELECT DISTINCT source_version_id, 'files' AS entity_type, path AS source_key FROM files x WHERE trim(path) <> '' AND source_version_id NOT IN (SELECT min(id) FROM versions GROUP BY source_path)",
     "r05_merge_bags": f"""WITH a AS (SELECT id, nullif(bundle_id, '') AS bundle, {_CK} AS ck FROM binaries),
@@ -222,7 +245,7 @@ SELECT x.id AS atom_a, y.id AS atom_b FROM k x JOIN u USING (b) JOIN k y ON y.b
     "r10_block_tokens": f"""WITH a AS (SELECT id, executable_name AS k, concat_ws(' ', 'binaries', executable_name, CASE WHEN arch IS NOT NULL THEN 'arch ' || arch END, CASE WHEN executable_name IS NOT NULL THEN 'executable_name ' || executable_name END) AS t FROM binaries),
 ix AS (SELECT id, unnest({_TOKEN.format("t")}) AS token FROM a), qs AS (SELECT id, unnest({_TOKEN.format("k")}) AS token FROM a WHERE k IS NOT NULL),
 h AS (SELECT DISTINCT qs.id, ix.id AS hit FROM qs JOIN ix USING (token) WHERE qs.id <> ix.id),
-r AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY hit) <= 50)
+r AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY hit) <= 200)
 SELECT DISTINCT least(id, hit) AS atom_a, greatest(id, hit) AS atom_b FROM r""",
     "r11_comparators": """WITH b AS (SELECT id, executable_name AS e, bundle_id AS u, sha256 AS s FROM binaries)
 SELECT c.id, CASE WHEN a.s = b.s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS exact, CASE WHEN lower(trim(a.e)) = lower(trim(b.e)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm,
@@ -236,7 +259,7 @@ FROM match_candidates c JOIN b a ON a.id = c.atom_a JOIN b b ON b.id = c.atom_b
     "r14_score_binaries": f"WITH {_GIVEN.format('binaries')} SELECT atom_a, atom_b, round({_weighted(('(a.sha256 = b.sha256)::DOUBLE', 'sha256', 3.0), (_eq('executable_name'), 'executable_name', 2.0), ('(a.arch = b.arch)::DOUBLE', 'arch', 0.5))}, 6) AS score FROM p JOIN binaries a ON a.id = atom_a JOIN binaries b ON b.id = atom_b",
     "r14_score_pairs": f"WITH {_FA}, {_SCORE} SELECT atom_a, atom_b, round(score, 6) AS score FROM sp",
     "r15_components": "WITH RECURSIVE raw AS (SELECT entity_type AS k, atom_a AS a, atom_b AS b FROM match_candidates WHERE score >= 0.85 AND atom_a <> atom_b), " + _LINKED.strip() + " SELECT k AS kind, cluster_id, atom_id FROM comp",
-    "r16_resolve_scored": f"WITH RECURSIVE {_FA}, {_SCORE}, raw AS (SELECT '' AS k, atom_a AS a, atom_b AS b FROM sp WHERE score >= 0.85), " + _LINKED.strip() + """, n AS (SELECT cluster_id, count(*) AS c FROM comp GROUP BY 1), s AS (SELECT cluster_id, avg(score) AS s FROM sp JOIN comp ON comp.atom_id = sp.atom_a WHERE score >= 0.85 GROUP BY 1)
+    "r16_resolve_scored": f"WITH RECURSIVE {_FA}, {_CANDIDATES}, sp AS (SELECT atom_a, atom_b, {_FILE_SCORE} AS score FROM cand JOIN fa a ON a.id = atom_a JOIN fa b ON b.id = atom_b), raw AS (SELECT '' AS k, atom_a AS a, atom_b AS b FROM sp WHERE score >= 0.85), " + _LINKED.strip() + """, n AS (SELECT cluster_id, count(*) AS c FROM comp GROUP BY 1), s AS (SELECT cluster_id, avg(score) AS s FROM sp JOIN comp ON comp.atom_id = sp.atom_a WHERE score >= 0.85 GROUP BY 1)
 SELECT n.cluster_id AS id, 'files' AS entity_type, f.path AS canonical_key, n.c AS atom_count, round(s.s, 6) AS score FROM n JOIN s USING (cluster_id) JOIN files f ON f.id = n.cluster_id
 UNION ALL SELECT id, 'files', NULL, 1, NULL FROM files WHERE id NOT IN (SELECT atom_id FROM comp)""",
     "e02_pair_metrics": f"WITH lab AS (SELECT CAST(id AS VARCHAR) AS atom_id, {_H} AS cluster_id, concat_ws('|', lower(filename), CAST(size AS VARCHAR)) AS bag_id FROM files WHERE {_H} IS NOT NULL), " + _METRIC.format(by="", g="", j2=", t2", j3=", t3").strip() + " SELECT tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM m2",

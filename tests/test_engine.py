@@ -356,3 +356,14 @@ def test_scan_query_reads_every_text_column(spark, tmp_path):
     rows = spark.createDataFrame([(1, "/x", "x", None, "/Users/ann/o", "y")], "id long, path string, filename string, symlink_target string, owner string, group_name string")
     rows.write.parquet(str(tmp_path / "files.parquet"))
     assert [tuple(r) for r in h04_scan_files(spark, str(tmp_path)).collect()] == [("owner", "username_path", 1)]
+
+
+def test_search_folds_data_and_query_alike(spark):
+    import unicodedata
+
+    from lodeworks.operators import textsearch
+
+    texts = ["été à Paris", unicodedata.normalize("NFD", "été à Paris"), "tiếng Việt", "ΑΘΉΝΑ", "Straße", None, "plain ascii"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for needle, want in (("ete", [0, 1]), ("ÉTÉ", [0, 1]), ("tieng viet", [2]), ("αθηνα", [3]), ("Αθήνα", [3]), ("straße", [4]), ("plain", [6])):
+        assert [r.id for r in textsearch.search(rows, needle, ["text"]).collect()] == want, needle

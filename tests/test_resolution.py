@@ -175,3 +175,16 @@ def test_token_query_keeps_the_hits_of_the_operator(spark, tmp_path):
     b = spark.createDataFrame([(i, f"runner n{i}", "arm64") for i in range(1, 121)], "id long, executable_name string, arch string")
     b.write.parquet(str(tmp_path / "binaries.parquet"))
     assert r10_block_tokens(spark, str(tmp_path)).count() == 120 * 119 // 2
+
+
+def test_hot_buckets_are_linked_without_all_pairs(spark):
+    from lodeworks.operators import matching, resolver
+
+    rows = [(i, "t", f"/a/{i % 3}/runner", f"/a/{i % 3}/runner", "runner", 5, f"h{i % 3}", "macho") for i in range(700)]
+    rows += [(1000 + i, "t", f"/b/{i}/runner", f"/b/{i}/runner", "runner", 5, "same", "macho") for i in range(20)]
+    atoms = spark.createDataFrame(rows, "id long, entity_type string, source_key string, path string, filename string, size long, sha256 string, file_type string")
+    pairs = matching.hot_pairs(atoms, ["filename"], *matching.hot_fields("files", atoms.columns))
+    assert pairs.count() < 3 * len(rows)
+    done = resolver.resolve_scored(atoms, "files", tokens=False)
+    assert sorted(r.atom_count for r in done.bags.collect()) == [20, 233, 233, 234] and done.overflow == 720
+    assert resolver.resolve_scored(atoms, "files", tokens=False, hot=False).bags.where("atom_count > 1").count() == 0
