@@ -101,6 +101,7 @@ def resolve(args, spark) -> int:
     from pyspark.sql import functions as F
 
     from lodeworks import schema
+    from lodeworks.pipeline import now
     from lodeworks.workspace import Workspace
 
     if not 0 <= args.threshold <= 1 or not all(Workspace(spark, s).exists for s in args.sources):
@@ -124,9 +125,11 @@ def resolve(args, spark) -> int:
             continue
         wide = atoms.select("*", *[F.get_json_object("properties", f"$.{r.field}").alias(r.field) for r in matching.SCORING_SPECS[kind]])
         done = resolver.resolve_scored(wide, kind, args.threshold)
-        tables["bags"] = tables["bags"].unionByName(schema.conform(done.bags, "bags"))
-        tables["bag_atoms"] = tables["bag_atoms"].unionByName(done.bag_atoms)
+        for name, rows in resolver.stored(done, kind, now()).items():
+            tables[name] = tables[name].unionByName(schema.conform(rows, name))
         print(f"{kind}: {done.counts}")
+        if done.overflow:
+            print(f"{kind}: {done.overflow} atoms in buckets too large to be paired in full", file=sys.stderr)
     os.makedirs(args.out, exist_ok=True)
     Workspace(spark, args.out).save(tables)
     return 0

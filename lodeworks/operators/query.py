@@ -27,6 +27,10 @@ _READING = ("select", "with", "values", "from", "table", "show", "describe", "de
 _WRITING_PLANS = re.compile(r"^(Insert|Create|Drop|Alter|Replace|Merge|Update|Delete|Truncate|Overwrite|Append|Set|Reset|Add|Load|Cache|Uncache|Refresh|Repair|Analyze|Rename|Use)")
 
 
+#: Functions that call into the JVM.
+_CODE = re.compile(r"(?i)\b(?:try_)?(?:reflect|java_method)`?\s*\(")
+
+
 class ReadOnlyViolation(PermissionError):
     """A statement that would write was given to the read-only engine."""
 
@@ -40,6 +44,9 @@ def valid_identifier(name: str, allowed: tuple[str, ...] | None = None) -> str:
 def guard_reading(spark: SparkSession, sql: str) -> None:
     """Raise ReadOnlyViolation unless the statement only reads; it is parsed, never run."""
     bare = re.sub(r"(?s)/\*.*?\*/|--[^\n]*", " ", sql).strip().lstrip("(").strip()
+    unquoted = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "''", bare)
+    if _CODE.search(unquoted):
+        raise ReadOnlyViolation("functions that run code are not allowed")
     word = re.split(r"\W+", bare.lower(), maxsplit=1)[0] if bare else ""
     if word not in _READING:
         raise ReadOnlyViolation(f"only reading statements are allowed, not {word.upper() or 'nothing'}")
@@ -107,20 +114,20 @@ def grants_of(grants: DataFrame, holders: DataFrame, places: DataFrame, keys: li
 
 
 def service_map(daemons: DataFrame) -> DataFrame:
-    return daemons.where(F.col("mach_services").isNotNull()).select("label", "program", "mach_services", "user_name").orderBy("label")
+    return daemons.where(F.col("mach_services").isNotNull()).select("label", "mach_services", "sandbox_profile", "user_name").orderBy("label")
 
 
 def service_owners(services: DataFrame, daemons: DataFrame, pattern: str | None = None) -> DataFrame:
-    """service_name with label, program and user of its daemon; ``pattern`` is LIKE without regard to case."""
-    joined = services.join(daemons.select(F.col("id").alias("daemon_id"), "label", "program", "user_name"), "daemon_id")
+    """service_name with label, user and sandbox profile of its daemon, by name; ``pattern`` is LIKE without regard to case."""
+    joined = services.select("service_name", "daemon_id").join(daemons.select(F.col("id").alias("daemon_id"), "label", "user_name", "sandbox_profile"), "daemon_id")
     if pattern is not None:
         joined = joined.where(F.ilike(F.col("service_name"), F.lit(pattern)))
-    return joined.select("service_name", "label", "program", "user_name")
+    return joined.select("service_name", "label", "user_name", "sandbox_profile").orderBy("service_name", "label")
 
 
 def daemons_with(grants: DataFrame, binaries: DataFrame, daemons: DataFrame, pattern: str, key: str = "key") -> DataFrame:
-    """Daemons whose binary holds a key like ``pattern`` (LIKE without regard to case)."""
-    held = grants.where(F.ilike(F.col(key), F.lit(pattern))).select("binary_id", key)
+    """Daemons whose binary holds a key like ``pattern`` (LIKE without regard to case), with the grant's value where it has one."""
+    held = grants.where(F.ilike(F.col(key), F.lit(pattern))).select("binary_id", key, *[c for c in grants.columns if c == "value"])
     return daemons.join(binaries.select(F.col("id").alias("binary_id"), "executable_name"), "binary_id").join(held, "binary_id")
 
 
@@ -227,7 +234,7 @@ class EntityQuery:
         return QueryResult(textsearch.search(self.tables[table], query, SEARCHABLE[table]), "search")
 
     def root_daemons(self) -> QueryResult:
-        return QueryResult(root_daemons(self.tables["daemons"]), "root_daemons")
+        return QueryResult(root_daemons(self.tables["daemons"]).select("label", "program", "mach_services"), "root_daemons")
 
     def privileged_entitlements(self, keys: list[str] | None = None) -> QueryResult:
         grants = self.tables["entitlements"]
@@ -236,7 +243,7 @@ class EntityQuery:
         binaries = self.tables["binaries"].select(F.col("id").alias("binary_id"), "bundle_id", "executable_name", "file_id")
         files = self.tables["files"].select(F.col("id").alias("file_id"), "path")
         held = grants_of(grants.select("binary_id", "key", "value"), binaries, files, keys, "binary_id", "file_id")
-        return QueryResult(held.select("path", "bundle_id", "key", "value").orderBy("key", "bundle_id"), "privileged_entitlements")
+        return QueryResult(held.select("key", "value", "bundle_id", "path").orderBy("key", "bundle_id"), "privileged_entitlements")
 
     def service_map(self) -> QueryResult:
         return QueryResult(service_map(self.tables["daemons"]), "service_map")
@@ -246,7 +253,7 @@ class EntityQuery:
 
     def daemons_with_entitlement(self, pattern: str) -> QueryResult:
         found = daemons_with(self.tables["entitlements"], self.tables["binaries"], self.tables["daemons"], pattern)
-        return QueryResult(found.select("label", "executable_name", "key"), "daemons_with_entitlement")
+        return QueryResult(found.select("label", "key", "value", "sandbox_profile", "user_name").orderBy("label", "key"), "daemons_with_entitlement")
 
     def kernel_surface(self) -> QueryResult:
         return QueryResult(kernel_surface(self.tables["kexts"]), "kernel_surface")

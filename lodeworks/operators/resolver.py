@@ -40,6 +40,13 @@ class Resolution:
         return Resolution(spark.createDataFrame([], BAGS), spark.createDataFrame([], MEMBERS), spark.createDataFrame([], EVENTS))
 
 
+def stored(done: Resolution, kind: str, at: str) -> dict[str, DataFrame]:
+    """What a resolution leaves in the tables of a workspace."""
+    scored = done.candidates.withColumns({"id": F.abs(F.xxhash64("atom_a", "atom_b")), "entity_type": F.lit(kind)})
+    events = done.events.withColumns({"id": F.abs(F.xxhash64("event_type", "bag_id")), "atom_ids": F.to_json("atom_ids"), "timestamp": F.lit(at)})
+    return {"bags": done.bags, "bag_atoms": done.bag_atoms, "match_candidates": scored, "resolution_event_log": events}
+
+
 def _event(members: DataFrame, kind: str, reason: str, confidence=None) -> DataFrame:
     """One event per bag of (bag_id, atom_id), listing its atoms in order."""
     return members.groupBy("bag_id").agg(F.array_sort(F.collect_list("atom_id")).alias("atom_ids")).select(F.lit(kind).alias("event_type"), "bag_id", "atom_ids", F.lit(reason).alias("reason"), F.lit(confidence).cast("double").alias("confidence"), F.lit("auto").alias("operator"))

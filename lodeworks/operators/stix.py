@@ -46,7 +46,8 @@ def timestamp(text: Column, otherwise: str) -> Column:
 def _rows(df: DataFrame, kind: str, table: str, fields: list[Column], now: str, domain: bool) -> DataFrame:
     own = object_id(kind, F.lit(table), F.col("id"))
     common = [F.lit(kind).alias("type"), F.lit(SPEC).alias("spec_version"), own.alias("id")]
-    times = [F.lit(now).alias("created"), F.lit(now).alias("modified")] if domain else []
+    at = timestamp(F.col(when), now) if (when := "observed_at" if table == "observations" else "observed_time") in df.columns else F.lit(now)
+    times = [at.alias("created"), at.alias("modified")] if domain else []
     return df.select(own.alias("id"), F.lit(kind).alias("type"), F.lit(table).alias("source_table"), F.col("id").alias("source_id"), F.to_json(F.struct(*common, *times, *fields)).alias("json"))
 
 
@@ -65,11 +66,11 @@ def binaries(df: DataFrame, now: str) -> DataFrame:
 
 
 def daemons(df: DataFrame, now: str) -> DataFrame:
-    return _rows(df, "infrastructure", "daemons", [F.col("label").alias("name"), F.col("program").alias("x_program"), F.col("user_name").alias("x_user_name"), F.col("mach_services").alias("x_mach_services")], now, True)
+    return _rows(df, "infrastructure", "daemons", [F.col("label").alias("name"), F.array(F.lit("hosting-target")).alias("infrastructure_types"), F.col("program").alias("x_program"), F.col("user_name").alias("x_user_name"), F.col("mach_services").alias("x_mach_services")], now, True)
 
 
 def entitlements(df: DataFrame, now: str) -> DataFrame:
-    return _rows(df, "course-of-action", "entitlements", [F.col("key").alias("name"), F.col("value").alias("x_value")], now, True)
+    return _rows(df, "course-of-action", "entitlements", [F.col("key").alias("name"), F.coalesce(F.col("value").cast("string"), F.lit("None")).alias("description")], now, True)
 
 
 #: Kind of the object an observation of each table refers to.
@@ -84,7 +85,7 @@ def observations(df: DataFrame, now: str) -> DataFrame:
         target = F.when(F.col("entity_table") == table, object_id(kind, F.lit(table), F.col("entity_id"))).otherwise(target)
     at = timestamp(F.col("observed_at"), now)
     seen = _rows(df.where(data).withColumn("_t", target), "observed-data", "observations", [at.alias("first_observed"), at.alias("last_observed"), F.lit(1).alias("number_observed"), F.array("_t").alias("object_refs"), F.col("event_type").alias("x_event_type")], now, True)
-    sighted = _rows(df.where(~data).withColumn("_t", target), "sighting", "observations", [at.alias("first_seen"), F.lit(1).alias("count"), F.col("_t").alias("sighting_of_ref"), F.col("event_type").alias("x_event_type")], now, True)
+    sighted = _rows(df.where(~data).withColumn("_t", target), "sighting", "observations", [at.alias("first_seen"), at.alias("last_seen"), F.lit(1).alias("count"), F.col("_t").alias("sighting_of_ref"), F.col("event_type").alias("x_event_type")], now, True)
     return seen.unionByName(sighted)
 
 
@@ -124,9 +125,14 @@ def export(tables: dict[str, DataFrame], now: str, include: tuple[str, ...] = ("
 
 
 def bundle_id(objects: DataFrame) -> str:
-    """Id of the bundle: a UUID of the digest of all objects in order of id."""
-    total = objects.agg(F.count("*").alias("n"), F.sha2(F.coalesce(F.sum(F.xxhash64("id", "json").cast("decimal(38,0)")), F.lit(0)).cast("string"), 256).alias("h")).first()
-    return f"bundle--{uuid.uuid5(NAMESPACE, f'{total.n}:{total.h}')}"
+    """Id of the bundle: a UUID of its objects, whatever their order and partitioning.
+
+    Each object's SHA-256 enters in four parts of 60 bits, each summed without loss.
+    """
+    digest = F.sha2(F.concat_ws("\n", "id", "json"), 256)
+    sums = [F.coalesce(F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)) for i in range(4)]
+    row = objects.agg(F.count("*"), *sums).first()
+    return f"bundle--{uuid.uuid5(NAMESPACE, ':'.join(map(str, row)))}"
 
 
 def diff_notes(unified: DataFrame, now: str) -> DataFrame:
@@ -146,6 +152,20 @@ def diff_notes(unified: DataFrame, now: str) -> DataFrame:
 
 
 def write_bundle(objects: DataFrame, path: str) -> str:
-    """Objects as JSON lines under ``path``, one file per task; returns the bundle's id."""
-    objects.select(F.col("json").alias("value")).write.mode("overwrite").text(path)
-    return bundle_id(objects)
+    """The objects as a bundle; returns its id.
+
+    A path that ends in ``.json`` becomes one file with the bundle object, its objects in
+    order of id; it is written partition by partition, so the driver holds one at a time. Any
+    other path becomes a folder of JSON lines, one file per task, for what one file is too
+    small for.
+    """
+    own = bundle_id(objects)
+    if not path.endswith(".json"):
+        objects.select(F.col("json").alias("value")).write.mode("overwrite").text(path)
+        return own
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(f'{{"type":"bundle","id":"{own}","objects":[')
+        for n, row in enumerate(objects.orderBy("id").select("json").toLocalIterator()):
+            out.write(("," if n else "") + "\n" + row["json"])
+        out.write("\n]}\n")
+    return own

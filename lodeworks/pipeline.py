@@ -105,28 +105,50 @@ class Pipeline:
         staged = Workspace(context.spark, os.path.join(log.folder, "tables"))
         if state["done"] and staged.exists:
             context.tables = staged.tables()
+        before = dict(context.tables)
         for phase in self.phases[len(state["done"]) :]:
             log.write(state | {"running": phase.name})
             try:
                 stats = phase.handler(context)
-            except BaseException:
+            except BaseException as error:
                 log.write(state | {"failed": phase.name})
+                if isinstance(error, sanitize.SanitizationFailed):
+                    self._mark_failed(context, space)
                 raise
             if context.tables:
-                staged.save(context.tables)
+                # Tables the phase left alone are linked, not written again.
+                staged.save(context.tables, {n for n, t in context.tables.items() if t is before.get(n)})
                 context.tables = staged.tables()
+                before = dict(context.tables)
             state["done"].append(phase.name)
             state["stats"][phase.name] = stats
             log.write(state)
         finished = context.tables["versions"].withColumn("completed_at", F.coalesce("completed_at", F.lit(now())))
         total = sum(v for v in state["stats"].get("ingest", {}).values() if isinstance(v, int))
         context.tables["versions"] = finished.withColumn("entity_count", F.lit(total).cast("long"))
-        self._gate(context)
+        try:
+            self._gate(context)
+        except sanitize.SanitizationFailed:
+            self._mark_failed(context, space)
+            raise
         os.makedirs(context.output, exist_ok=True)
         space.save(context.tables)
         log.clear()
         return state["stats"]
 
+    @staticmethod
+    def _mark_failed(context: Context, space: Workspace) -> None:
+        """Leave a workspace that says its sanitation failed and holds nothing else but its runs.
+
+        Readers refuse it; what was not proved clean is not published. A finished workspace of
+        an earlier build stays as it is.
+        """
+        if space.exists:
+            return
+        _metadata(context, sanitize_status="FAILED")
+        os.makedirs(context.output, exist_ok=True)
+        space.save({n: context.tables[n] for n in ("metadata", "versions") if n in context.tables})
+
     @staticmethod
     def _gate(context: Context) -> None:
         """Rescan after the last write to the key-value table; a finding fails the build."""
@@ -196,12 +218,8 @@ def default_pipeline(source: str, parser: str, registry: Registry, resolve: bool
             wide = atoms.select("*", *[F.get_json_object("properties", f"$.{f}").alias(f) for f in fields])
             done = resolver.resolve_scored(wide, kind)
             c.tables["atoms"] = c.tables["atoms"].unionByName(schema.conform(atoms, "atoms"))
-            c.tables["bags"] = c.tables["bags"].unionByName(schema.conform(done.bags, "bags"))
-            c.tables["bag_atoms"] = c.tables["bag_atoms"].unionByName(done.bag_atoms)
-            scored = done.candidates.withColumns({"id": F.abs(F.xxhash64("atom_a", "atom_b")), "entity_type": F.lit(kind)})
-            c.tables["match_candidates"] = c.tables["match_candidates"].unionByName(schema.conform(scored, "match_candidates"))
-            events = done.events.withColumns({"id": F.abs(F.xxhash64("event_type", "bag_id")), "atom_ids": F.to_json("atom_ids"), "timestamp": F.lit(c.started_at)})
-            c.tables["resolution_event_log"] = c.tables["resolution_event_log"].unionByName(schema.conform(events, "resolution_event_log"))
+            for name, rows in resolver.stored(done, kind, c.started_at).items():
+                c.tables[name] = c.tables[name].unionByName(schema.conform(rows, name))
             merged[kind] = done.counts["merges"]
         return merged
 

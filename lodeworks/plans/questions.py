@@ -75,13 +75,13 @@ def q06_service_map(spark, sf):
 
 def q07_service_owners(spark, sf):
     services = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("service_name"), F.col("o_custkey").alias("daemon_id"))
-    owners = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.col("c_mktsegment").alias("program"), F.col("c_nationkey").cast("string").alias("user_name"))
-    return query.service_owners(services, owners, "%URGENT%").groupBy("service_name", "label", "program", "user_name").agg(F.count("*").alias("n"))
+    owners = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.col("c_mktsegment").alias("sandbox_profile"), F.col("c_nationkey").cast("string").alias("user_name"))
+    return query.service_owners(services, owners, "%URGENT%").groupBy("service_name", "label", "sandbox_profile", "user_name").agg(F.count("*").alias("n"))
 
 
 def q08_daemons_with(spark, sf):
     found = query.daemons_with(_holds(spark, sf), table(spark, sf, "binaries"), table(spark, sf, "daemons"), "ARCH:arm%")
-    return found.select("id", "label", "executable_name", "key")
+    return found.select("id", "label", "executable_name", "key", "sandbox_profile", "user_name")
 
 
 def q09_kernel_surface(spark, sf):
@@ -198,9 +198,9 @@ ORACLE = {
     "q03_root_daemons": "SELECT id, label, program, user_name, sandbox_profile FROM daemons WHERE (user_name IS NULL OR user_name = 'root') AND (sandbox_profile IS NULL OR sandbox_profile = '')",
     "q04_top_holders": f"WITH {_HOLDS} SELECT key, count(*) AS holders FROM holds GROUP BY key ORDER BY holders DESC, key LIMIT 50",
     "q05_grants_of": "SELECT p_brand AS key, s_name, n_name, l_orderkey, l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_brand IN ('Brand#2', 'Brand#17')",
-    "q06_service_map": "SELECT label, program, mach_services, user_name FROM daemons WHERE mach_services IS NOT NULL",
-    "q07_service_owners": "SELECT o_orderpriority AS service_name, c_name AS label, c_mktsegment AS program, CAST(c_nationkey AS VARCHAR) AS user_name, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority ILIKE '%URGENT%' GROUP BY ALL",
-    "q08_daemons_with": f"WITH {_HOLDS} SELECT d.id, d.label, b.executable_name, h.key FROM daemons d JOIN binaries b ON b.id = d.binary_id JOIN holds h ON h.binary_id = b.id WHERE h.key ILIKE 'ARCH:arm%'",
+    "q06_service_map": "SELECT label, mach_services, sandbox_profile, user_name FROM daemons WHERE mach_services IS NOT NULL",
+    "q07_service_owners": "SELECT o_orderpriority AS service_name, c_name AS label, c_mktsegment AS sandbox_profile, CAST(c_nationkey AS VARCHAR) AS user_name, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority ILIKE '%URGENT%' GROUP BY ALL",
+    "q08_daemons_with": f"WITH {_HOLDS} SELECT d.id, d.label, b.executable_name, h.key, d.sandbox_profile, d.user_name FROM daemons d JOIN binaries b ON b.id = d.binary_id JOIN holds h ON h.binary_id = b.id WHERE h.key ILIKE 'ARCH:arm%'",
     "q09_kernel_surface": "SELECT id, bundle_id, executable_name, arch FROM binaries WHERE has_restrict = 1",
     "q10_test_binaries": "SELECT path, extension AS bundle_id, filename AS executable_name FROM files WHERE path ILIKE '%/test%' OR path ILIKE '%/debug%' OR extension ILIKE '%test%' OR extension ILIKE '%debug%'",
     "q11_escape_surface": f"WITH {_HOLDS} SELECT d.id, d.label, d.program, d.mach_services, d.sandbox_profile, d.user_name, string_agg(h.key, ', ' ORDER BY h.key) AS privileged_entitlements FROM daemons d JOIN holds h ON h.binary_id = d.binary_id WHERE (d.sandbox_profile IS NULL OR d.sandbox_profile = '') AND d.mach_services IS NOT NULL GROUP BY ALL",

@@ -24,6 +24,14 @@ from lodeworks.operators.sanitize import sanitization_status
 POINTER = "CURRENT"
 
 
+def _link(source: str, target: str) -> None:
+    try:
+        shutil.copytree(source, target, copy_function=os.link)
+    except OSError:  # a file system without links
+        shutil.rmtree(target, ignore_errors=True)
+        shutil.copytree(source, target)
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
@@ -41,14 +49,19 @@ class Workspace:
         with open(os.path.join(self.root, POINTER), encoding="utf-8") as f:
             return json.load(f)["schema_version"]
 
-    def save(self, tables: dict[str, DataFrame]) -> None:
-        """All tables as a new generation; the pointer moves last."""
+    def save(self, tables: dict[str, DataFrame], unchanged: set[str] = frozenset()) -> None:
+        """All tables as a new generation; the pointer moves last.
+
+        The files of ``unchanged`` tables are linked from the present generation.
+        """
         generation = f"g-{uuid.uuid4().hex}"
         target = os.path.join(self.root, generation)
+        held = {n: os.path.join(self.current, n) for n in unchanged} if unchanged and self.exists else {}
+        held = {n: path for n, path in held.items() if os.path.exists(path)}
         try:
             # Most tables are small; several jobs at once keep the executors busy.
             with ThreadPoolExecutor(8) as pool:
-                list(pool.map(lambda name: self._write(tables.get(name), name, target), schema.DDL))
+                list(pool.map(lambda name: _link(held[name], os.path.join(target, name)) if name in held else self._write(tables.get(name), name, target), schema.DDL))
         except BaseException:
             shutil.rmtree(target, ignore_errors=True)
             raise

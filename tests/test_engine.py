@@ -367,3 +367,62 @@ def test_search_folds_data_and_query_alike(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     for needle, want in (("ete", [0, 1]), ("ÉTÉ", [0, 1]), ("tieng viet", [2]), ("αθηνα", [3]), ("Αθήνα", [3]), ("straße", [4]), ("plain", [6])):
         assert [r.id for r in textsearch.search(rows, needle, ["text"]).collect()] == want, needle
+
+
+def test_apple_headers_that_are_damaged():
+    from lodeworks.sources import macho
+
+    good = macho_file({"com.x.allow": True})
+    assert macho.info(good)["arch"] == "arm64" and macho.info(good)["entitlements"] == {"com.x.allow": True}
+    e = bytearray(good)
+    e[8:12] = struct.pack("<I", 0x80000002)
+    assert macho.info(bytes(e))["arch"] == "arm64e"
+    spoiled = good.replace(b"<plist", b"<plast")
+    assert macho.info(spoiled) == {"arch": "arm64", "code_sign_flags": "0x12000", "entitlements": {}}
+    for cut in (40, 47, 60, 90):
+        assert macho.info(good[:cut])["arch"] == "arm64"
+
+
+def test_no_code_through_sql(spark):
+    for bad in ("SELECT reflect('java.lang.System', 'exit', 1)", "SELECT Java_Method ('a', 'b')", "SELECT try_reflect('a', 'b')", "SELECT `reflect`('a', 'b')", "SELECT /* x */ reflect /* y */ ('a', 'b')"):
+        with pytest.raises(query.ReadOnlyViolation):
+            query.guard_reading(spark, bad)
+    query.guard_reading(spark, "SELECT 'reflect(x)' AS reflection")
+
+
+def test_bundle_file(spark, tmp_path):
+    from lodeworks.operators import stix
+
+    ddl = "id long, label string, program string, user_name string, mach_services string, observed_time string"
+    rows = spark.createDataFrame([(1, "a", "/p", "root", None, "2026-07-18T12:34:56+05:00"), (2, "b", None, None, None, None)], ddl)
+    objects = stix.export({"daemons": rows}, "2026-02-01T00:00:00Z", ("daemons",))
+    path = str(tmp_path / "out.json")
+    own = stix.write_bundle(objects, path)
+    bundle = json.loads(open(path, encoding="utf-8").read())
+    assert bundle["type"] == "bundle" and bundle["id"] == own == stix.bundle_id(objects.repartition(3)) and len(bundle["objects"]) == 2
+    first = next(o for o in bundle["objects"] if o["name"] == "a")
+    assert first["created"] == first["modified"] == "2026-07-18T07:34:56Z" and first["infrastructure_types"] == ["hosting-target"]
+    assert stix.bundle_id(objects.limit(1)) != own
+
+
+def test_failed_sanitation_leaves_a_mark(spark, tmp_path, monkeypatch):
+    from lodeworks import pipeline, schema
+    from lodeworks.workspace import Workspace
+
+    def fail(c):
+        raise sanitize.SanitizationFailed("left")
+
+    def start(c):
+        c.tables = schema.empty(c.spark)
+        c.tables["files"] = schema.conform(c.spark.createDataFrame([(1, "/secret")], "id long, path string"), "files")
+        return {}
+
+    out = str(tmp_path / "ws")
+    run = pipeline.Pipeline([pipeline.Phase("init", start), pipeline.Phase("sanitize", fail)], "mark")
+    with pytest.raises(sanitize.SanitizationFailed):
+        run.run(pipeline.Context(spark, "src", out, "p", started_at="2026-01-01T00:00:00Z"))
+    tables = Workspace(spark, out).tables()
+    status = sanitize.sanitization_status({r["key"]: r["value"] for r in tables["metadata"].collect()})
+    assert status == "failed" and tables["files"].count() == 0
+    with pytest.raises(PermissionError):
+        query.EntityQuery(spark, tables, status)
