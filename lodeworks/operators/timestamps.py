@@ -17,7 +17,9 @@ from datetime import date, datetime, timedelta
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -191,12 +193,141 @@ def instant(text: str | None, zone: str | None, ambiguous: str = "reject", nonex
     return us if true_span is None or true_span[0] <= us < true_span[1] else None
 
 
+#: The cascade for whole columns, anchored on both sides.
+_COLUMNS = tuple(r"\A(?:" + p.pattern + r")\z" for p in CASCADE)
+_MONTH_NAMES, _DAY_NAMES = pa.array(list(MONTHS)), pa.array(list(DAYS))
+_AS_UTC = pa.array(["UTC", "GMT", "Z", "z", "UT"])
+
+
+def _ints(text: pa.Array) -> np.ndarray:
+    return pc.cast(text, pa.int64()).to_numpy(zero_copy_only=False)
+
+
+def _fields(found: pa.StructArray) -> dict[str, pa.Array]:
+    return {f.name: found.field(i) for i, f in enumerate(found.type)}
+
+
+def _offsets(zones: pa.Array, days: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offset in seconds, known, whether the day needs a closer look) of days in named zones."""
+    coded = pc.dictionary_encode(zones)
+    codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+    offset, known, closer = np.zeros(len(days), dtype=np.int64), np.zeros(len(days), dtype=bool), np.zeros(len(days), dtype=bool)
+    for code, zone in enumerate(coded.dictionary.to_pylist()):
+        if _zone(zone) is None:
+            continue
+        mine = np.flatnonzero(codes == code)
+        each, back = np.unique(days[mine], return_inverse=True)
+        steady = [_steady(zone, date.fromordinal(int(d) + _ORDINAL)) for d in each]
+        offset[mine] = np.array([x or 0 for x in steady], dtype=np.int64)[back]
+        closer[mine] = np.array([x is None for x in steady], dtype=bool)[back]
+        known[mine] = ~closer[mine]
+    return offset, known, closer
+
+
+def _numbers(text: pa.Array, true_span: Span | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_judge`` of bare numbers: whole ones of up to 18 digits are read in every epoch that puts them into the span."""
+    n = len(text)
+    us, hits = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    if true_span is None:
+        return us, hits > 0, hits > 0
+    plain = pc.match_substring_regex(text, r"^\d{1,18}$").to_numpy(zero_copy_only=False)
+    whole = pc.cast(text.filter(pa.array(plain)), pa.int64()).to_numpy(zero_copy_only=False)
+    value, seen = np.zeros(len(whole), dtype=np.int64), np.zeros(len(whole), dtype=np.int64)
+    for _name, start, ticks in EPOCHS:
+        # Number of ticks at which the span begins and ends, rounded up.
+        low, high = (-((start - edge) * ticks // 10**6) for edge in true_span)
+        here = (whole >= max(low, 0)) & (whole < min(high, 2**62)) if high > 0 else np.zeros(len(whole), dtype=bool)
+        at = np.where(here, whole, 0) * (10**6 // ticks) + start if ticks <= 10**6 else whole // (ticks // 10**6) + start
+        fresh = here & ((seen == 0) | (at != value))
+        value = np.where(fresh, at, value)
+        seen += fresh
+    us[plain], hits[plain] = value, seen
+    return us, hits == 1, ~plain
+
+
+def _judge(g: dict[str, pa.Array], zones: pa.Array, true_span: Span | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(microseconds, whether they hold, whether the value needs a closer look) of values of one pattern."""
+    n = len(zones)
+    if "num" in g:
+        return _numbers(g["num"], true_span)
+    year, day, hour, minute, second = (_ints(g[k]) for k in ("y", "d", "h", "mi", "s"))
+    month = _ints(g["mo"]) if "mo" in g else pc.fill_null(pc.index_in(pc.utf8_lower(g["mon"]), _MONTH_NAMES), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    valid = (year >= 1) & (month >= 1) & (month <= 12) & (day >= 1) & (minute < 60) & (second < 60)
+    if "ap" in g:
+        half = pc.utf8_lower(g["ap"]).to_numpy(zero_copy_only=False)
+        told = half != ""
+        valid &= ~told | ((hour >= 1) & (hour <= 12))
+        hour = np.where(told, hour % 12 + 12 * (half == "pm"), hour)
+    valid &= hour < 24
+    first = np.where(valid, year - 1970, 0).astype("M8[Y]").astype("M8[M]") + np.where(valid, month - 1, 0)
+    valid &= day <= ((first + 1).astype("M8[D]") - first.astype("M8[D]")).astype(np.int64)
+    days = np.where(valid, first.astype("M8[D]").astype(np.int64) + day - 1, 0)
+    if "wd" in g:
+        valid &= pc.fill_null(pc.index_in(pc.utf8_lower(g["wd"]), _DAY_NAMES), -1).to_numpy(zero_copy_only=False) == (days + 3) % 7
+    offset, settled, closer = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    if "off" in g:
+        sign = pc.utf8_slice_codeunits(g["off"], 0, 1).to_numpy(zero_copy_only=False)
+        digits = pc.utf8_rpad(pc.utf8_slice_codeunits(pc.replace_substring(g["off"], ":", ""), 1, 5), 4, "0")
+        hours, minutes = (_ints(pc.utf8_slice_codeunits(digits, i, i + 2)) for i in (0, 2))
+        settled = sign != ""
+        valid &= ~settled | ((hours <= 18) & (minutes <= 59))
+        offset = np.where(settled, (hours * 3600 + minutes * 60) * np.where(sign == "-", -1, 1), 0)
+    if "abbr" in g:
+        named = ~settled & (g["abbr"].to_numpy(zero_copy_only=False) != "")
+        closer |= named & ~pc.is_in(g["abbr"], value_set=_AS_UTC).to_numpy(zero_copy_only=False)
+        settled |= named
+    if "zone" in g:
+        closer |= ~settled & (g["zone"].to_numpy(zero_copy_only=False) != "")
+        settled |= closer
+    local = np.flatnonzero(valid & ~settled)
+    if len(local):
+        offset[local], known, look = _offsets(zones.take(pa.array(local)), days[local])
+        valid[local] &= known | look
+        closer[local] |= look
+    us = days * _DAY + (hour * 3600 + minute * 60 + second - offset) * 1_000_000
+    if "f" in g:
+        us += _ints(pc.utf8_rpad(pc.utf8_slice_codeunits(g["f"], 0, 6), 6, "0"))
+    return us, valid & ~closer, valid & closer
+
+
+def instants(values: pa.Array, zones: pa.Array, ambiguous: str = "reject", nonexistent: str = "reject", true_span: Span | None = None) -> pa.Array:
+    """``instant`` of whole columns.
+
+    Patterns, calendar and offsets run over the column; ``instant`` itself decides on what
+    is left: numbers with a fraction, zone abbreviations, days on which a clock changes, and values no
+    pattern fits.
+    """
+    text = pc.utf8_trim_whitespace(values)
+    us, holds = np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=bool)
+    rest = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+    closer: list[np.ndarray] = []
+    for pattern in _COLUMNS:
+        if not len(rest):
+            break
+        found = pc.extract_regex(text.take(pa.array(rest)), pattern)
+        hit = found.is_valid().to_numpy(zero_copy_only=False)
+        if hit.any():
+            rows = rest[hit]
+            us[rows], holds[rows], look = _judge(_fields(found.filter(pa.array(hit))), zones.take(pa.array(rows)), true_span)
+            closer.append(rows[look])
+        rest = rest[~hit]
+    if true_span is not None:
+        holds &= (us >= true_span[0]) & (us < true_span[1])
+    for rows in (*closer, rest):
+        at = pa.array(rows)
+        for row, v, z in zip(rows.tolist(), values.take(at).to_pylist(), zones.take(at).to_pylist()):
+            one = instant(v, z, ambiguous, nonexistent, true_span)
+            if one is not None:
+                us[row], holds[row] = one, True
+    return pa.array(us, mask=~holds)
+
+
 def epoch_us(value: Column, zone: Column, ambiguous: str = "reject", nonexistent: str = "reject", true_span: Span | None = None) -> Column:
-    """``instant`` as a column of whole Arrow batches."""
+    """``instants`` of Arrow batches."""
 
     @arrow_udf("long")
     def convert(values: pa.Array, zones: pa.Array) -> pa.Array:
-        return pa.array([instant(v, z, ambiguous, nonexistent, true_span) for v, z in zip(values.to_pylist(), zones.to_pylist())], type=pa.int64())
+        return instants(values, zones, ambiguous, nonexistent, true_span)
 
     return convert(value, zone)
 

@@ -3,7 +3,7 @@
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
-from lodeworks.operators.timestamps import epoch_us, file_instants, instant, span
+from lodeworks.operators.timestamps import EPOCHS, epoch_us, file_instants, instant, instants, span
 
 NY, BERLIN, SYDNEY = "America/New_York", "Europe/Berlin", "Australia/Sydney"
 AT = datetime(2025, 8, 30, 2, 12, 34, 567890, tzinfo=UTC)
@@ -86,3 +86,37 @@ def test_columns_and_tables(spark):
     rows = sorted(tuple(r) for r in file_instants(files, versions, true_span=SPAN).collect())
     assert rows == [("files", 10, 0, "observed_time", WHOLE), ("files", 11, 0, "modified_time", WHOLE)]
     assert file_instants(files.limit(0), versions).collect() == []
+
+
+def test_columns_agree_with_single_values():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    forms = ["%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S,%f+05:30", "%Y%m%dT%H%M%SZ", "%Y%m%dT%H%M%S.%f-08", "%a, %d %b %Y %H:%M:%S GMT", "%a, %d %b %Y %H:%M:%S EST", "%d/%b/%Y:%H:%M:%S -0400", "%d/%b/%Y:%H:%M:%S", "%m/%d/%Y %I:%M:%S %p", "%m/%d/%Y, %H:%M:%S", "%d.%m.%Y %H:%M:%S", "%d.%m.%Y, %H:%M:%S CET", "%a %b %d %H:%M:%S.%f EDT %Y", "%Y-%m-%d %H:%M:%S EDT", "%Y-%m-%dT%H:%M:%S-04:00[America/New_York]", "%Y-%m-%dT%H:%M:%S[Europe/Berlin]", "  %Y-%m-%d %H:%M:%S +1900 "]
+    values, zones = [], []
+    for _ in range(6000):
+        at = datetime(rng.choice([1, 1905, 1970, 2021, 2024, 2025, 2026, 9999]), rng.randint(1, 12), rng.randint(1, 28), rng.randint(0, 23), rng.randint(0, 59), rng.randint(0, 59), rng.randint(0, 999999))
+        if rng.random() < 0.3:
+            at = at.replace(year=2025, month=rng.choice([3, 10, 11]), day=rng.choice([2, 5, 9, 26, 30]), hour=rng.randint(0, 3))
+        text = list(at.strftime(rng.choice(forms)))
+        if rng.random() < 0.3 and text:
+            text[rng.randrange(len(text))] = rng.choice("0123456789 :-/TZapm٣")
+        values.append("".join(text))
+        zones.append(rng.choice([NY, BERLIN, SYDNEY, "No/Where", "", None]))
+    for _ in range(800):
+        one = rng.randint(1_672_000_000, 1_799_000_000)
+        values.append(str(rng.choice([one, one * 1000 + 7, one * 10**6 + 1, one * 10**9 + 5, one - 978_307_200, (one - 978_307_200) * 10**9, one + 2_082_844_800, (one + 11_644_473_600) * 10**7 + 3, (one + 11_644_473_600) * 10**6, rng.randint(0, 10**12), 10**17 + rng.randint(0, 10**17), -one])))
+        zones.append(None)
+    for edge in SPAN:
+        for _, start, ticks in EPOCHS:
+            values += [str((edge - start) * ticks // 10**6 + d) for d in (-1, 0, 1)]
+            zones += [None] * 3
+    values += [None, "", " ", "n/a", "1751352558583", "1722486337.559", "-5", "2025-02-29T00:00:00Z", "٢٠٢٥-01-01T00:00:00Z"]
+    zones += [NY] * 9
+    for ambiguous, nonexistent, limits in (("reject", "reject", SPAN), ("earlier", "later", None)):
+        want = [instant(v, z, ambiguous, nonexistent, limits) for v, z in zip(values, zones)]
+        got = instants(pa.array(values, pa.string()), pa.array(zones, pa.string()), ambiguous, nonexistent, limits).to_pylist()
+        assert got == want, [x for x in zip(values, zones, got, want) if x[2] != x[3]][:5]
+        assert sum(x is not None for x in want) > 1000
