@@ -287,12 +287,17 @@ class Differ:
         return out
 
     def _plain_changes(self, table: str, key: str) -> DataFrame:
-        """The unified rows of a table's added, removed and changed results from one join of both sides."""
+        """The unified rows of a table's added, removed and changed results from one join of both sides.
+
+        The join is a plain equality, which keeps a partitioning by the key that the sides
+        may already have; the rows without a key are compared by themselves.
+        """
         keys = [*self.pair, key]
         values = ["sha256", "size"] if table == "files" else []
         side = lambda rows, p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in (*keys, *values)], F.lit(True).alias(f"{p}_there"))
-        tests = [F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}")) for c in keys]
-        both = side(self.old[table], "o").join(side(self.new[table], "n"), reduce(lambda x, y: x & y, tests), "full_outer")
+        tests = [F.col(f"o_{c}") == F.col(f"n_{c}") for c in keys]
+        keyed = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in keys])
+        both = side(self.old[table].where(keyed), "o").join(side(self.new[table].where(keyed), "n"), reduce(lambda x, y: x & y, tests), "full_outer")
         one = lambda p, suffix, category, value: F.struct(F.lit(f"{table}_{suffix}").alias("result"), F.lit(category.value).alias("category"), F.concat_ws("|", *[F.coalesce(F.col(f"{p}_{c}").cast("string"), F.lit("")) for c in keys]).alias("key"), F.lit(None).cast("string").alias("old_value"), value.alias("new_value"))
         none = F.lit(None).cast("string")
         change = F.when(F.col("o_there").isNull(), one("n", "added", Category.ADDITION, none)).when(F.col("n_there").isNull(), one("o", "removed", Category.DELETION, none))
@@ -300,7 +305,9 @@ class Differ:
             known = F.col("o_sha256").isNotNull() & F.col("n_sha256").isNotNull()
             differs = F.when(known, F.col("o_sha256") != F.col("n_sha256")).otherwise(~F.col("o_size").eqNullSafe(F.col("n_size")))
             change = change.when(differs, one("n", "changed", Category.CHANGE, F.when(known, "sha256").otherwise("size")))
-        return both.select(change.alias("c")).where("c IS NOT NULL").select("c.*")
+        out = both.select(change.alias("c")).where("c IS NOT NULL").select("c.*")
+        bare = Differ({table: self.old[table].where(~keyed)}, {table: self.new[table].where(~keyed)}, self.pair).full_diff()
+        return reduce(DataFrame.unionByName, [bare[n].unified(n) for n in bare if n != "files_moved"], out)
 
     def unified(self) -> DataFrame:
         """All changes of all results in one frame; tables with a key of their own are compared in one join each."""
