@@ -153,11 +153,12 @@ def _proposals(binaries: DataFrame, files: DataFrame, rules: Rules) -> DataFrame
     classes of one kind the strongest counts.
     """
     w = rules.weights
-    of_files = files.select("fid", F.explode(_keys(files, "file", rules)).alias("key"))
+    of_binaries = binaries.select("bid", F.explode(_keys(binaries, "binary", rules)).alias("key"))
+    # Keys no record asks for go first; what is left stays where this join put it.
+    of_files = files.select("fid", F.explode(_keys(files, "file", rules)).alias("key")).join(of_binaries.select("key").distinct(), "key", "left_semi")
     shared = of_files.groupBy("key").agg(F.count("*").alias("n"))
-    # Both branches read the counted keys; a class is one row however many files it has.
+    # A class is one row however many files it has.
     usable = of_files.join(shared.where(F.col("n") <= rules.explicit), "key").select("key", "fid", "n")
-    of_binaries = binaries.select("bid", F.explode(_keys(binaries, "binary", rules)).alias("key"))
     kind = F.substring("key", 1, 1)
     evidence = F.when(kind == "h", w["hash"]).when(kind == "n", w["name"]).when(kind == "v", w["name"] + w["vendor_name"]).when(kind == "e", w["exec"]).when(kind == "c", w["hash"] + w["name"]).otherwise(w["name"] + w["exec"])
     joint = F.when(kind.isin("c", "x"), evidence / F.col("n")).otherwise(0.0)
