@@ -54,8 +54,12 @@ def perturb(base: DataFrame, plan: dict[str, int], seed: int = 0) -> DataFrame:
         raise ValueError("the plan uses more base atoms than there are")
     fields = ("executable_name", "arch", "path", "sha256")
     lot = F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string")))
-    drawn = base.select("id", *fields, lot.alias("lot")).orderBy("lot", "id").limit(max(used, borrowed))
-    placed = drawn.withColumn("n", F.row_number().over(Window.orderBy("lot", "id")))  # as many rows as the plan asks for
+    # Numbered in the order of the lots: within buckets of their first digits, behind all earlier buckets.
+    drawn = base.select("id", *fields, lot.alias("lot")).withColumn("bucket", F.substring("lot", 1, 4))
+    earlier = F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = drawn.groupBy("bucket").agg(F.count("*").alias("size")).withColumn("before", earlier)  # at most 16^4 rows
+    numbered = drawn.join(buckets, "bucket").withColumn("n", F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy("lot", "id")))
+    placed = numbered.where(F.col("n") <= max(used, borrowed)).drop("bucket", "size", "before")
     out = base.select("id", F.col("id").alias("cluster_id"), F.lit("base").alias("mutation"), *fields)
     top = base.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
 

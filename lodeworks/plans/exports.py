@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeworks.operators import sanitize, stix
+from lodeworks.plans.diffs import _RUNS, _SPACES
 from lodeworks.schema import DDL
 from lodeworks.session import table
 from lodeworks.sources import columns as source_columns
@@ -147,6 +148,7 @@ ORACLE = {
     "h03_redact_records": f"SELECT raw_id, md5({_redacted('body', sanitize.PATTERNS)}) AS digest FROM sample_records",
     "h05_sanitize_daemons": "SELECT id, " + ", ".join(f"{_redacted(c, sanitize.PATH_SAFE)} AS {c}" for c in _DAEMON_TEXTS) + " FROM daemons",
     "h04_scan_files": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column, '{n}' AS pattern, CAST(coalesce(sum(len(regexp_extract_all({c}, '{_q(sanitize.PATTERNS[n])}'))), 0) AS BIGINT) AS findings FROM files" for c in _FILE_TEXTS for n in sanitize.PATH_SAFE) + ") WHERE findings > 0",
+    "x06_diff_notes": f"WITH {_RUNS}, {_SPACES} SELECT 'software' AS type, 1::BIGINT AS n UNION ALL SELECT 'note', count(*) FROM (SELECT DISTINCT * FROM u WHERE result LIKE 'files%')",
     "x01_stix_ids": f"SELECT id, 'file--' || {_U5} AS stix_id FROM (SELECT id, sha1(unhex('{_NS}') || encode('file:[\"files\",' || CAST(id AS VARCHAR) || ']')) AS h FROM files)",
     "x02_stix_files": f"SELECT 'file--' || {_U5} AS id, id AS source_id, filename AS name, CASE WHEN size > 0 THEN CAST(size AS VARCHAR) END AS size, nullif(sha256, '') AS sha256 FROM (SELECT *, sha1(unhex('{_NS}') || encode('file:[\"files\",' || CAST(id AS VARCHAR) || ']')) AS h FROM files)",
     "x03_timestamps": f"SELECT id, CASE WHEN trim(coalesce(observed_time, '')) = '' THEN '{NOW}' ELSE strftime(CAST(replace(replace(observed_time, 'T', ' '), 'Z', '') AS TIMESTAMP), '%Y-%m-%dT%H:%M:%SZ') END AS at FROM daemons",

@@ -227,7 +227,15 @@ cand AS (
 _CLOSE = "CASE WHEN a.size = b.size THEN 1.0 ELSE greatest(0.0, 1.0 - CAST(abs(a.size - b.size) AS DOUBLE) / greatest(abs(a.size), abs(b.size))) END"
 _FILE_SCORE = _weighted(("(a.sha256 = b.sha256)::DOUBLE", "sha256", 3.0), (_eq("filename"), "filename", 1.5), (_suffix("a.path", "b.path"), "path", 1.0), (_CLOSE, "size", 0.5), ("(a.file_type = b.file_type)::DOUBLE", "file_type", 0.5))
 
+
+
+def _atoms(table: str, entity_type: str, key: str, fields: tuple[str, ...]) -> str:
+    shown = ", ".join(f"""CASE WHEN {f} IS NOT NULL THEN '"{f}":' || CAST(to_json({f}) AS VARCHAR) END""" for f in sorted(fields))
+    return f"SELECT source_version_id, '{entity_type}' AS entity_type, {key} AS source_key, '{{' || concat_ws(',', {shown}) || '}}' AS properties FROM {table} WHERE trim({key}) <> '' QUALIFY row_number() OVER (PARTITION BY source_version_id, {key} ORDER BY id) = 1"
+
+
 ORACLE = {
+    "r01_atomize": _atoms("daemons", "daemons", "label", ("label", "program", "plist_path")) + " UNION ALL " + _atoms("binaries", "binaries", "executable_name", ("executable_name", "arch", "sha256")),
     "r02_atomize_files": "SELECT DISTINCT source_version_id, 'files' AS entity_type, path AS source_key FROM files x WHERE trim(path) <> '' AND source_version_id NOT IN (SELECT min(id) FROM versions GROUP BY source_path)",
     "r05_merge_bags": f"""WITH a AS (SELECT id, nullif(bundle_id, '') AS bundle, {_CK} AS ck FROM binaries),
 bag AS (SELECT ck, min(id) AS id, count(*) AS n FROM a WHERE ck IS NOT NULL GROUP BY ck),
