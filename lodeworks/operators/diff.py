@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.session import cut_lineage
+
 
 class Category(str, Enum):
     ADDITION = "addition"
@@ -309,12 +311,18 @@ class Differ:
         bare = Differ({table: self.old[table].where(~keyed)}, {table: self.new[table].where(~keyed)}, self.pair).full_diff()
         return reduce(DataFrame.unionByName, [bare[n].unified(n) for n in bare if n != "files_moved"], out)
 
-    def unified(self) -> DataFrame:
-        """All changes of all results in one frame; tables with a key of their own are compared in one join each."""
+    def unified(self, staged: bool = False) -> DataFrame:
+        """All changes of all results in one frame; tables with a key of their own are compared in one join each.
+
+        ``staged`` writes each result before the next is planned: for whole workspaces, whose
+        comparisons together make a plan of a size that the driver should not hold.
+        """
         joined = {t: k for t, k in self.PLAIN.items() if self._there(t)}
         covered = {f"{t}_{suffix}" for t in joined for suffix in ("added", "removed", "changed")}
         parts = [self._plain_changes(t, k) for t, k in joined.items()]
         parts += [r.unified(name) for name, r in self.full_diff().items() if name not in covered]
+        if staged:
+            parts = [cut_lineage(p) for p in parts]
         return reduce(DataFrame.unionByName, parts)
 
     def summary(self) -> DataFrame:

@@ -9,7 +9,7 @@ from lodeworks.functions.markdown import sanitize_column
 from lodeworks.functions.text import hash_value
 from lodeworks.operators import diff
 from lodeworks.operators.snapshot_changes import snapshot_sequence
-from lodeworks.session import table
+from lodeworks.session import cut_lineage, discard, table
 
 FILE_COLUMNS = ("path", "filename", "size", "sha256", "file_type", "id")
 DAEMON_COLUMNS = ("label", "program", "plist_path", "user_name", "group_name", "session_type", "sandbox_profile", "run_at_load", "id", "binary_id", "observed_time")
@@ -135,8 +135,8 @@ def workspaces(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame], dict
     """
     out = []
     for shift, files, daemons in zip((0, SHIFT), sides(spark, sf, "files", FILE_COLUMNS), sides(spark, sf, "daemons", DAEMON_COLUMNS)):
-        f = diff.first_wins(files, ["pair_id", "path"], [F.col("id")]).withColumn("id", F.col("id") + shift)
-        d = diff.first_wins(daemons, ["pair_id", "label"], [F.col("id")]).withColumn("id", F.col("id") + shift)
+        f = cut_lineage(diff.first_wins(files, ["pair_id", "path"], [F.col("id")]).withColumn("id", F.col("id") + shift))
+        d = cut_lineage(diff.first_wins(daemons, ["pair_id", "label"], [F.col("id")]).withColumn("id", F.col("id") + shift))
         binaries = f.where(F.col("file_type").isin("macho", "elf", "pe")).select("pair_id", (F.col("id") * 2 + 1).alias("id"), F.col("id").alias("file_id"), F.lit(None).cast("string").alias("bundle_id"), F.col("filename").alias("executable_name"))
         profiles = d.where("sandbox_profile IS NOT NULL").groupBy("pair_id", F.col("sandbox_profile").alias("name")).agg(F.min("id").alias("id"))
         rules = d.where("sandbox_profile IS NOT NULL").join(profiles.select("pair_id", F.col("name").alias("sandbox_profile"), F.col("id").alias("profile_id")), ["pair_id", "sandbox_profile"])
@@ -156,7 +156,10 @@ def workspaces(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame], dict
 
 
 def d16_full_diff(spark, sf):
-    return diff.Differ(*workspaces(spark, sf), ("pair_id",)).unified()
+    old, new = workspaces(spark, sf)
+    changes = diff.Differ(old, new, ("pair_id",)).unified(staged=True)
+    discard(*(side[name] for side in (old, new) for name in ("files", "daemons")))
+    return changes
 
 
 def k06_markdown_sanitize(spark, sf):
