@@ -304,12 +304,13 @@ def edits_in(pattern: str, text: str) -> int:
     return best
 
 
-def verify(plan: Plan, words: list[str], item: list[str], at: int, start: int) -> tuple[int, int, int, int | None]:
+def verify(plan: Plan, words: list[str], item: list[str], at: int, start: int, known: int | None = None) -> tuple[int, int, int, int | None]:
     """(run, item_from, doc_from, edits) of the alignment doc[at] ~ item[start].
 
     run: the longest run of equal words that touches the window. Where it is shorter than
     ``plan.run``, edits is the least edit distance of any passage of ``plan.run`` words of
-    the item that holds the window to the document around it, None if above ``max_edits``.
+    the item that holds the window to the document around it, None if above ``max_edits`` or
+    above ``known``, which another alignment of the two has (0 can't be bettered).
     """
     best = (0, start, at)
     lo, run_from = 0, None
@@ -327,19 +328,20 @@ def verify(plan: Plan, words: list[str], item: list[str], at: int, start: int) -
             run_from = None
     if best[0] >= plan.run:
         return *best, 0
-    if not plan.max_edits:
+    most = plan.max_edits if known is None else known
+    if most < 1:
         return *best, None
     around = " ".join(words[max(0, at - plan.stride - 1) : at + plan.run + plan.stride])
     first, last = max(0, start - (plan.run - plan.width)), min(start, len(item) - plan.run)
     # A narrower window may stand at the very end of an item.
     first = min(first, max(0, last))
-    there, edits = Counter(around), plan.max_edits + 1
+    there, edits = Counter(around), most + 1
     for k in range(first, last + 1):
         passage = " ".join(item[k : k + plan.run])
         # Every character that the document has too few of costs an edit.
         if sum((Counter(passage) - there).values()) < edits:
             edits = min(edits, edits_in(passage, around))
-    return *best, edits if edits <= plan.max_edits else None
+    return *best, edits if edits <= most else None
 
 
 def _better(new: tuple, old: tuple | None) -> bool:
@@ -377,7 +379,7 @@ def _scan(index: ItemIndex, embedder: Embedder, docs: list[tuple[int, list[str]]
                 known = found.get((which, n))
                 if known and known[3] == 0 and start - at == known[1] - known[2] and known[1] <= start < known[1] + known[0]:
                     continue
-                judged = verify(plan, docs[n][1], index.words[which], at, start)
+                judged = verify(plan, docs[n][1], index.words[which], at, start, known and known[3])
                 if judged[3] is not None and _better(judged, known):
                     found[which, n] = judged
     return found
