@@ -311,8 +311,20 @@ class Differ:
         bare = Differ({table: self.old[table].where(~keyed)}, {table: self.new[table].where(~keyed)}, self.pair).full_diff()
         return reduce(DataFrame.unionByName, [bare[n].unified(n) for n in bare if n != "files_moved"], out)
 
+    def _owned_changes(self, table: str, link: str, owner: str, owner_key: str, own: tuple[str, ...]) -> DataFrame:
+        """The unified rows of a table with owners, by counting each key on both sides in one aggregation."""
+        keys = [*self.pair, "owner", *own]
+        sides = [self._owned(t, table, link, owner, owner_key).select(*keys, F.lit(o).alias("o"), F.lit(n).alias("n")) for t, o, n in ((self.old, 1, 0), (self.new, 0, 1))]
+        counted = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.sum("o").alias("o"), F.sum("n").alias("n")).where("o = 0 OR n = 0")
+        key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys])
+        category = F.when(F.col("o") == 0, Category.ADDITION.value).otherwise(Category.DELETION.value)
+        none = F.lit(None).cast("string")
+        # Rows that repeat a key stay repeated.
+        times = F.explode(F.sequence(F.lit(1), F.greatest("o", "n").cast("int"))).alias("time")
+        return counted.select(F.lit(table).alias("result"), category.alias("category"), key.alias("key"), none.alias("old_value"), none.alias("new_value"), times).drop("time")
+
     def unified(self, staged: bool = False) -> DataFrame:
-        """All changes of all results in one frame; tables with a key of their own are compared in one join each.
+        """All changes of all results in one frame; tables with a key of their own are compared in one join each, those with owners in one aggregation.
 
         ``staged`` writes each result before the next is planned: for whole workspaces, whose
         comparisons together make a plan of a size that the driver should not hold.
@@ -320,6 +332,9 @@ class Differ:
         joined = {t: k for t, k in self.PLAIN.items() if self._there(t)}
         covered = {f"{t}_{suffix}" for t in joined for suffix in ("added", "removed", "changed")}
         parts = [self._plain_changes(t, k) for t, k in joined.items()]
+        owned = [spec for spec in self.OWNED if self._there(spec[0], spec[2])]
+        parts += [self._owned_changes(*spec) for spec in owned]
+        covered |= {spec[0] for spec in owned}
         parts += [r.unified(name) for name, r in self.full_diff().items() if name not in covered]
         if staged:
             parts = [cut_lineage(p) for p in parts]
