@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,6 +43,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="lodeworks-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return named
 
@@ -83,7 +86,9 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_lodeworks_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    packed = os.path.join(tempfile.mkdtemp(prefix="lodeworks-ship-"), "lodeworks.zip")
+    folder_of_package = tempfile.mkdtemp(prefix="lodeworks-ship-")
+    atexit.register(shutil.rmtree, folder_of_package, ignore_errors=True)
+    packed = os.path.join(folder_of_package, "lodeworks.zip")
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as out:
         for folder, _, names in os.walk(here):

@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import stat
 from abc import ABC, abstractmethod
+from collections import deque
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lodeworks.sources import columns as C
 
@@ -51,27 +55,77 @@ class SourceParser(ABC):
         return ()
 
 
+def _shown(name: str) -> str:
+    """A name as text; bytes that are none are written as escapes."""
+    return name.encode("utf-8", "surrogateescape").decode("utf-8", "backslashreplace")
+
+
+def _entries(source: str, folder: str, dirs: list[str], names: list[str]) -> Iterator[tuple]:
+    for name in sorted([*names, *[d for d in dirs if os.path.islink(os.path.join(folder, d))]]):
+        full = os.path.join(folder, name)
+        try:
+            info = os.lstat(full)
+            link = stat.S_ISLNK(info.st_mode)
+            target = _shown(os.readlink(full)) if link else None
+        except OSError:
+            continue
+        if not link and not stat.S_ISREG(info.st_mode):
+            continue
+        path = "/" + _shown(os.path.relpath(full, source).replace("\\", "/"))
+        extension = _shown(os.path.splitext(name)[1].lower())
+        yield path, path.rsplit("/", 1)[-1], extension.lstrip(".") or None, 0 if link else info.st_size, int(link), target, None
+
+
 def walk(source: str) -> Iterator[tuple]:
     """Catalog rows of regular files and symbolic links; links are not followed, other kinds are left out."""
     for folder, dirs, names in os.walk(source, followlinks=False):
         dirs.sort()
-        for name in sorted([*names, *[d for d in dirs if os.path.islink(os.path.join(folder, d))]]):
-            full = os.path.join(folder, name)
-            try:
-                info = os.lstat(full)
-            except OSError:
-                continue
-            link = stat.S_ISLNK(info.st_mode)
-            if not link and not stat.S_ISREG(info.st_mode):
-                continue
-            path = "/" + os.path.relpath(full, source).replace("\\", "/").encode("utf-8", "surrogateescape").decode("utf-8", "backslashreplace")
-            extension = os.path.splitext(name)[1].lower()
-            yield path, path.rsplit("/", 1)[-1], extension.lstrip(".") or None, 0 if link else info.st_size, int(link), os.readlink(full) if link else None, None
-
-
-def catalog(spark: SparkSession, source: str) -> DataFrame:
-    """File catalog with link metadata. Listing is the driver's work, as in any file scan."""
-    return spark.createDataFrame(list(walk(source)), CATALOG)
+        yield from _entries(source, folder, dirs, names)
+
+
+def _folders(source: str, most: int) -> list[tuple[bytes, bool]]:
+    """Folders from the top down, and whether all below them is meant too; about ``most`` of them, however large the tree."""
+    opened: list[str] = []
+    waiting = deque([source])
+    while waiting and len(opened) + len(waiting) < most:
+        folder = waiting.popleft()
+        opened.append(folder)
+        try:
+            with os.scandir(folder) as entries:
+                waiting.extend(e.path for e in entries if e.is_dir(follow_symlinks=False))
+        except OSError:
+            continue
+    return [(os.fsencode(f), False) for f in opened] + [(os.fsencode(f), True) for f in waiting]
+
+
+def catalog(spark: SparkSession, source: str, most_folders: int = 2000) -> DataFrame:
+    """File catalog with link metadata, in no order.
+
+    The driver opens folders from the top until there are ``most_folders``; their files, and
+    all that is below the last of them, are listed in tasks.
+    """
+    source = os.path.abspath(source)
+    schema = StructType.fromDDL(CATALOG)
+    arrow = to_arrow_schema(schema)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows: list[tuple] = []
+                for here, dirs, names in os.walk(os.fsdecode(folder), followlinks=False):
+                    rows += _entries(source, here, dirs, names)
+                    if len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+                        rows = []
+                    if not deep:
+                        break
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    folders = _folders(source, most_folders)
+    tasks = max(1, min(len(folders) // 8, 4 * spark.sparkContext.defaultParallelism))
+    plan = spark.createDataFrame(folders, "folder binary, deep boolean").repartition(tasks)
+    return plan.mapInArrow(listed, schema)
 
 
 def contents(spark: SparkSession, source: str, limit: int = C.HASH_LIMIT) -> DataFrame:

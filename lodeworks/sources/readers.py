@@ -25,6 +25,7 @@ TRAIL_LIMIT, JSON_LIMIT = 200_000_000, 50_000_000
 WINDOWS_TYPES = {".exe": "binary", ".dll": "dylib", ".sys": "driver", ".json": "config", ".xml": "config", ".ini": "config", ".pdb": "debug", ".pak": "resource", ".dat": "data", ".manifest": "manifest", ".cat": "catalog"}
 LINUX_TYPES = {".so": "shared_lib", ".service": "systemd_unit", ".conf": "config", ".py": "script"}
 APPLE_TYPES = {".plist": "plist", ".dylib": "binary", ".framework": "bundle", ".kext": "bundle", ".app": "bundle", ".appex": "bundle", ".sb": "sandbox_profile", ".sqlite": "database", ".db": "database", ".png": "image", ".jpg": "image", ".car": "asset_catalog", ".strings": "strings", ".nib": "nib"}
+#: Folders that systems keep their programs and services in (fixed values).
 UNIT_DIRS = ("lib/systemd/system", "usr/lib/systemd/system", "usr/local/lib/systemd/system", "etc/systemd/system", "run/systemd/system")
 BIN_DIRS = ("usr/bin", "usr/sbin", "bin", "sbin", "usr/libexec")
 LIB_DIRS = ("usr/lib", "lib", "usr/lib64", "lib64")

@@ -426,3 +426,24 @@ def test_failed_sanitation_leaves_a_mark(spark, tmp_path, monkeypatch):
     assert status == "failed" and tables["files"].count() == 0
     with pytest.raises(PermissionError):
         query.EntityQuery(spark, tables, status)
+
+
+def test_listing_in_tasks_equals_a_walk(spark, tmp_path):
+    import os
+
+    from lodeworks.sources.base import catalog, walk
+
+    for i in range(40):
+        folder = tmp_path / f"d{i % 7}" / f"e{i % 3}" / f"f{i}"
+        folder.mkdir(parents=True)
+        (folder / f"Name {i}.TXT").write_text("x" * i)
+    (tmp_path / "top.so.1").write_text("t")
+    os.symlink("d0", tmp_path / "link")
+    os.symlink("/nowhere", tmp_path / "d1" / "broken")
+    with open(os.fsencode(tmp_path) + b"/d2/bad\xff.bin", "wb") as f:
+        f.write(b"1")
+    want = sorted(walk(str(tmp_path)), key=str)
+    assert len(want) == 44
+    for most in (1, 5, 2000):
+        got = sorted((tuple(r) for r in catalog(spark, str(tmp_path), most).collect()), key=str)
+        assert got == want, most
