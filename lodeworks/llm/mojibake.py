@@ -326,6 +326,24 @@ def _usual(char: str) -> bool:
     return (char.islower() and (0xDF <= o <= 0xFF or 0x3AC <= o <= 0x3CE or 0x430 <= o <= 0x44F)) or 0x2013 <= o <= 0x2026
 
 
+_PLAIN_ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+
+def _ends(word: str) -> tuple[str, str] | None:
+    """First and last letter of a word that has no others beyond ASCII."""
+    core = word.strip(_PLAIN_ENDS)
+    if len(core) < 4 or core[0].isascii() or core[-1].isascii() or not (core[0].isalpha() and core[-1].isalpha() and core[1:-1].isascii()):
+        return None
+    return core[0], core[-1]
+
+
+def _quotes(ends: tuple[str, str] | None, table: dict[int, str]) -> bool:
+    """Whether a page makes an opening and a closing quote of the letters a word begins and ends with."""
+    if ends is None or not ((first := table.get(ord(ends[0]))) and (last := table.get(ord(ends[1])))):
+        return False
+    return (unicodedata.category(first), unicodedata.category(last)) in (("Pi", "Pf"), ("Ps", "Pe"), ("Ps", "Pi"))
+
+
 def _by_word(text: str) -> tuple[str, str, int] | None:
     """(restored text, codecs, words) if some pair of code pages makes most of the odd words writable."""
     tokens = _TOKEN.findall(text)
@@ -333,18 +351,20 @@ def _by_word(text: str) -> tuple[str, str, int] | None:
     strange = [w for w in tokens if not odd(w) and foreign(w)]
     if strange and 2 * (len(strange) + len(words)) > sum(any(map(str.isalpha, w)) for w in text.split()):
         words += strange
-    if not words:
+    held = [x for w in tokens if (x := _ends(w)) and not odd(w)]
+    if not words and not held:
         return None
     best = None
     for true, wrong in SINGLE_BYTE:
         table = _remap(true, wrong)
-        mended = usual = 0
+        quoted = sum(_quotes(x, table) for x in held)
+        mended, usual = quoted, 2 * quoted
         for old in words:
             new = old.translate(table)
             if new != old and not odd(new) and not any("\x80" <= c <= "\x9f" for c in new):
                 mended += 1
                 usual += sum(_usual(c) for c in new) - sum(not c.isascii() and not _usual(c) for c in new)
-        if 2 * mended > len(words) and usual > 0 and (best is None or (mended, usual) > best[:2]):
+        if 2 * mended > len(words) + quoted and usual > 0 and (best is None or (mended, usual) > best[:2]):
             best = (mended, usual, true, wrong, table)
     if best is None:
         return None
@@ -360,7 +380,7 @@ def _by_word(text: str) -> tuple[str, str, int] | None:
 
     def fix(m: re.Match) -> str:
         old = m.group()
-        return old.translate(table) if odd(old) or (whole and gains(old)) or (count > 2 and not odd(old.translate(table))) else old
+        return old.translate(table) if odd(old) or _quotes(_ends(old), table) or (whole and gains(old)) or (count > 2 and not odd(old.translate(table))) else old
 
     return _TOKEN.sub(fix, text), f"{true}<{wrong}", count
 

@@ -86,6 +86,11 @@ def test_single_byte(text, true, wrong):
     assert found is not None and found[0] == "single_byte" and found[4] == text
 
 
+def test_quotes_alone():
+    assert restore("ôwitheaganö.") == ("single_byte", "cp1252<cp437", 1, 0, "“witheagan”.")
+    assert restore("été ôté öde") is None
+
+
 def test_partly():
     found = restore("Grüße und schÃ¶ne Füße")
     assert found == ("utf8", "cp1252", 1, 0, "Grüße und schöne Füße")
