@@ -90,9 +90,10 @@ def q09_kernel_surface(spark, sf):
 
 
 def q10_test_binaries(spark, sf):
-    files = table(spark, sf, "files").select("id", "path")
-    programs = table(spark, sf, "files").select(F.col("id").alias("file_id"), F.col("extension").alias("bundle_id"), F.col("filename").alias("executable_name"))
-    return query.test_binaries(programs, files)
+    """Programs of services in place of binaries, their labels in place of bundle ids."""
+    services = table(spark, sf, "daemons")
+    places = services.select("id", F.col("program").alias("path"))
+    return query.test_binaries(services.select(F.col("id").alias("file_id"), F.col("label").alias("bundle_id"), F.col("sandbox_profile").alias("executable_name")), places)
 
 
 def q11_escape_surface(spark, sf):
@@ -202,7 +203,7 @@ ORACLE = {
     "q07_service_owners": "SELECT o_orderpriority AS service_name, c_name AS label, c_mktsegment AS sandbox_profile, CAST(c_nationkey AS VARCHAR) AS user_name, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority ILIKE '%URGENT%' GROUP BY ALL",
     "q08_daemons_with": f"WITH {_HOLDS} SELECT d.id, d.label, b.executable_name, h.key, d.sandbox_profile, d.user_name FROM daemons d JOIN binaries b ON b.id = d.binary_id JOIN holds h ON h.binary_id = b.id WHERE h.key ILIKE 'ARCH:arm%'",
     "q09_kernel_surface": "SELECT id, bundle_id, executable_name, arch FROM binaries WHERE has_restrict = 1",
-    "q10_test_binaries": "SELECT path, extension AS bundle_id, filename AS executable_name FROM files WHERE path ILIKE '%/test%' OR path ILIKE '%/debug%' OR extension ILIKE '%test%' OR extension ILIKE '%debug%'",
+    "q10_test_binaries": "SELECT program AS path, label AS bundle_id, sandbox_profile AS executable_name FROM daemons WHERE program ILIKE '%/test%' OR program ILIKE '%/debug%' OR label ILIKE '%test%' OR label ILIKE '%debug%'",
     "q11_escape_surface": f"WITH {_HOLDS} SELECT d.id, d.label, d.program, d.mach_services, d.sandbox_profile, d.user_name, string_agg(h.key, ', ' ORDER BY h.key) AS privileged_entitlements FROM daemons d JOIN holds h ON h.binary_id = d.binary_id WHERE (d.sandbox_profile IS NULL OR d.sandbox_profile = '') AND d.mach_services IS NOT NULL GROUP BY ALL",
     "q12_observations_for": f"WITH {_EV} SELECT id, observed_at, event_type FROM ev WHERE entity_id = 8",
     "q13_pattern_of_life": f"WITH {_EV} SELECT id, observed_at, event_type FROM ev WHERE entity_id = 8 AND observed_at BETWEEN '2024-01-02' AND '2024-01-09'",
