@@ -234,7 +234,21 @@ def _atoms(table: str, entity_type: str, key: str, fields: tuple[str, ...]) -> s
     return f"SELECT source_version_id, '{entity_type}' AS entity_type, {key} AS source_key, '{{' || concat_ws(',', {shown}) || '}}' AS properties FROM {table} WHERE trim({key}) <> '' QUALIFY row_number() OVER (PARTITION BY source_version_id, {key} ORDER BY id) = 1"
 
 
+def _perturbed() -> str:
+    """The default plan over files with a digest: rows in the order of their lots, cut into the consuming mutations one after the other."""
+    share = lambda m: f"CAST(greatest(1, round_even(count(*) * {evaluate.RATIOS[m]}, 0)) AS BIGINT) AS {m}"
+    rows, start = ["SELECT 'base' AS mutation, count(*) AS n, count(DISTINCT h) AS contents FROM b"], "0"
+    for m in ("identical", "move", "recompile", "rename"):
+        contents = "count(*)" if m == "recompile" else "count(DISTINCT h)"
+        rows.append(f"SELECT '{m}', count(*), {contents} FROM o, c WHERE k > {start} AND k <= {start} + {m}")
+        start = f"{start} + {m}"
+    rows += [f"SELECT '{m}', {m}, {m} FROM c" for m in evaluate.FOREIGN]
+    plan = ", ".join(share(m) for m in ("identical", "move", "recompile", "rename", *evaluate.FOREIGN))
+    return f"WITH b AS (SELECT id, {_H} AS h FROM files WHERE {_H} IS NOT NULL), c AS (SELECT {plan} FROM b), o AS (SELECT h, row_number() OVER (ORDER BY md5('0|' || id), id) AS k FROM b) " + " UNION ALL ".join(rows)
+
+
 ORACLE = {
+    "e01_perturb": _perturbed(),
     "r01_atomize": _atoms("daemons", "daemons", "label", ("label", "program", "plist_path")) + " UNION ALL " + _atoms("binaries", "binaries", "executable_name", ("executable_name", "arch", "sha256")),
     "r02_atomize_files": "SELECT DISTINCT source_version_id, 'files' AS entity_type, path AS source_key FROM files x WHERE trim(path) <> '' AND source_version_id NOT IN (SELECT min(id) FROM versions GROUP BY source_path)",
     "r05_merge_bags": f"""WITH a AS (SELECT id, nullif(bundle_id, '') AS bundle, {_CK} AS ck FROM binaries),
