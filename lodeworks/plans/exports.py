@@ -142,7 +142,11 @@ _NS = stix.NAMESPACE.hex
 _U5 = "substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || substr('89ab', CAST(('0x' || substr(h,17,1)) AS INT) % 4 + 1, 1) || substr(h,18,3) || '-' || substr(h,21,12)"
 _FK = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("daemons", "binary_id", "binaries", "id"), ("daemons", "source_version_id", "versions", "id"), ("files", "source_version_id", "versions", "id"), ("binaries", "file_id", "files", "id")]
 
+_KEY = b"fixture-key".ljust(64, b"\0")
+_INNER, _OUTER = (bytes(x ^ y for x in _KEY).hex() for y in (0x36, 0x5C))
+
 ORACLE = {
+    "h04_fingerprints": f"SELECT DISTINCT pattern, substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(m)))), 1, 16) AS fingerprint FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS pattern, unnest(regexp_extract_all(path, '{_q(sanitize.PATTERNS[n])}')) AS m FROM files" for n in sanitize.PATH_SAFE) + ") ORDER BY pattern, fingerprint LIMIT 100",
     "h02_column_scope": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}', '{n}')" for t, c in (("files", "path"), ("observations", "properties"), ("versions", "metadata"), ("daemons", "label"), ("documents", "text")) for n in (sanitize.PATTERNS if (t, c) in sanitize.VALUE_COLUMNS or t == "documents" else sanitize.PATH_SAFE)) + ") t(table_name, column_name, pattern)",
     "h03_redact_files": "SELECT id, " + ", ".join(f"{_redacted(c, sanitize.PATH_SAFE)} AS {c}" for c in _FILE_TEXTS) + " FROM files",
     "h03_redact_records": f"SELECT raw_id, md5({_redacted('body', sanitize.PATTERNS)}) AS digest FROM sample_records",
