@@ -63,4 +63,33 @@ FROM pairs p JOIN states o ON o.v = p.o JOIN states n ON n.v = p.n AND n.entity_
 WHERE CASE WHEN o.h IS NOT NULL AND n.h IS NOT NULL THEN o.h <> n.h ELSE o.z IS DISTINCT FROM n.z END
 """
 
-ORACLE = {"p1_found": _P1}
+_NAMES = ("eventVersion", "userIdentity", "eventTime", "eventSource", "eventName", "requestParameters", "responseElements")
+_IS_RECORD = "coalesce(" + ", ".join(f"json_type({{0}}, '$.{n}')" for n in _NAMES) + ") IS NOT NULL"
+_BARE = "ltrim({0}, chr(65279) || ' ' || chr(9) || chr(10) || chr(13))"
+#: Records out of their wrappings one step at a time (but for one record per line, which these tables don't have), then every array element of their sides.
+_P2 = f"""
+WITH RECURSIVE un AS (
+  SELECT raw_id, CAST({_BARE.format("body")} AS JSON) AS j FROM sample_records WHERE json_valid({_BARE.format("body")})
+  UNION ALL
+  SELECT raw_id, n FROM (SELECT raw_id, CASE
+      WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid({_BARE.format("(j->>'$')")}) THEN CAST({_BARE.format("(j->>'$')")} AS JSON) END
+      WHEN json_type(j) <> 'OBJECT' THEN NULL
+      WHEN json_type(j, '$.Records') IN ('ARRAY', 'VARCHAR') THEN j->'$.Records'
+      WHEN {_IS_RECORD.format("j")} THEN NULL
+      WHEN json_type(j, '$.detail') IS NOT NULL THEN j->'$.detail' END AS n FROM un) WHERE n IS NOT NULL
+), elements AS (
+  SELECT raw_id, unnest(CAST(j AS JSON[])) AS e, unnest(range(CAST(json_array_length(j) AS BIGINT))) AS record_pos FROM un WHERE json_type(j) = 'ARRAY'
+  UNION ALL
+  SELECT raw_id, j, 0 FROM un WHERE json_type(j) = 'OBJECT' AND {_IS_RECORD.format("j")} AND coalesce(json_type(j, '$.Records'), '') NOT IN ('ARRAY', 'VARCHAR')
+), records AS (
+  SELECT raw_id, record_pos, CASE WHEN json_type(e) = 'OBJECT' AND NOT ({_IS_RECORD.format("e")}) AND json_type(e, '$.detail') = 'OBJECT' THEN e->'$.detail' ELSE e END AS r FROM elements
+), sides AS (
+  SELECT raw_id, record_pos, CASE WHEN json_type(r, '$.userIdentity.arn') = 'VARCHAR' THEN r->>'$.userIdentity.arn' ELSE '' END AS arn, side,
+    CASE WHEN json_type(v) = 'VARCHAR' THEN CASE WHEN left({_BARE.format("(v->>'$')")}, 1) IN ('{{', '[') AND json_valid({_BARE.format("(v->>'$')")}) THEN CAST({_BARE.format("(v->>'$')")} AS JSON) END ELSE v END AS v
+  FROM (SELECT *, 'requestParameters' AS side, r->'$.requestParameters' AS v FROM records UNION ALL SELECT *, 'responseElements', r->'$.responseElements' FROM records)
+)
+SELECT raw_id, record_pos, arn, side, ltrim(regexp_replace(replace(t.path, '$', ''), '"([^"]*)"', '\\1', 'g'), '.') AS array_path, CAST(t.key AS BIGINT) AS item_pos
+FROM sides, json_tree(sides.v) AS t WHERE sides.v IS NOT NULL AND regexp_matches(t.fullkey, '[[][0-9]+[]]$')
+"""
+
+ORACLE = {"p1_found": _P1, "p2_found": _P2}
