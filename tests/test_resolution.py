@@ -188,3 +188,47 @@ def test_hot_buckets_are_linked_without_all_pairs(spark):
     done = resolver.resolve_scored(atoms, "files", tokens=False)
     assert sorted(r.atom_count for r in done.bags.collect()) == [20, 233, 233, 234] and done.overflow == 720
     assert resolver.resolve_scored(atoms, "files", tokens=False, hot=False).bags.where("atom_count > 1").count() == 0
+
+
+def odd_files(spark, blanks):
+    """Files of which many share a name, a folder or a content; with ``blanks`` any field may be missing."""
+    import random
+
+    r = random.Random(5)
+    rows = []
+    for i in range(1, 901):
+        name = r.choice(["runner", "Runner", "RUNNER ", f"n{r.randrange(60)}", "__", "café", "cafe"])
+        folder = r.choice(["/Apps/Contents", "C:\\Apps\\x", f"/u{r.randrange(40)}/apps", "/--"])
+        row = [r.choice([f"{folder}/{name.strip()}", f"{folder}/{name}/", f"{folder}/m{r.randrange(9)}"]), name, r.choice([5, 5, 6, 900]), f"h{r.randrange(4)}", r.choice(["elf", "pe"])]
+        if blanks:
+            row = [r.choice([None, "" if isinstance(v, str) else 0]) if r.random() < 0.15 else v for v in row]
+        elif r.random() < 0.3:
+            row[3] = None
+        rows.append((i, "files", row[0], *row))
+    return spark.createDataFrame(rows, "id long, entity_type string, source_key string, path string, filename string, size long, sha256 string, file_type string").withColumn("properties", F.to_json(F.struct("file_type", "filename", "path", "sha256", "size"))).cache()
+
+
+@pytest.mark.parametrize("blanks, blocking", [(False, [["filename"]]), (True, [["filename"]]), (True, [["sha256", "size"], ["path"]])])
+def test_links_are_the_candidates_at_or_above_the_threshold(spark, blanks, blocking):
+    a = odd_files(spark, blanks)
+    hot = matching.hot_fields("files", a.columns)
+    got = [tuple(r) for r in matching.linking_pairs(a, blocking, "files", 0.85, hot=hot).collect()]
+    scored = matching.score_pairs(matching.candidate_pairs(a, blocking, hot=hot), a, "files").where("score >= 0.85").drop("features")
+    want = [tuple(r) for r in scored.collect()]
+    assert len(want) > 500 and sorted(got) == sorted(want)
+
+
+def test_bags_do_not_list_all_pairs(spark, monkeypatch):
+    # The list of all scored pairs is a hundred times the rows; bags must not wait for it.
+    pairs = matching.candidate_pairs
+    monkeypatch.setattr(matching, "candidate_pairs", lambda *a: pairs(*a).where(F.raise_error(F.lit("all pairs were listed")).isNull()))
+    a = atoms(spark, (1, 1, "x", "x", "h", "/a/x", None), (2, 2, "x", "x", "h", "/b/x", None), (3, 1, "z", "z", "q", "/z", None))
+    done = resolver.resolve_scored(a, "binaries")
+    assert sorted((r.id, r.atom_count) for r in done.bags.collect()) == [(1, 2), (3, 1)]
+    with pytest.raises(Exception, match="all pairs were listed"):
+        done.candidates.collect()
+
+
+def test_path_suffix_of_slashes_and_line_ends(spark):
+    c = lambda a, b: one(spark, matching.path_suffix(F.lit(a), F.lit(b)))
+    assert [c(a, b) for a, b in (("/a/x//", "b\\X\\"), ("/", "/"), ("", ""), ("x", "/x"), ("/a/x\n", "/a/x"), ("/a/x/\n", "/a/x"))] == [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]
